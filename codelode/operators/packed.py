@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 #: Delimiters between values, as the inside of a regular expression's character class.
 DELIMITERS = r",;|\t\r\n"
 #: Whole fields that stand for "no values" (compared trimmed and in lower case).
@@ -57,37 +59,41 @@ def packed_values(field: Column, delimiters: str = DELIMITERS, no_values: Sequen
     skipped and take no position. Quotes count only where they enclose a whole entry, so paths with
     apostrophes stay whole. A bracketed list of quoted strings may use JSON's or Python's escapes.
     """
-    text = _trimmed(F.coalesce(field, F.lit("")))
-    is_list = text.rlike(_IS_LIST)
-    body = F.when(is_list, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-
-    def entries(pattern: str, unquote) -> Column:
-        spans = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-        pieces = F.split(body, pattern, -1)
-        masked = F.array_join(
+    marker = rf"^{_OPEN}([0-9]+){_CLOSE}$"
+
+    def masked(pieces: Column) -> Column:
+        return F.array_join(
             F.transform(
                 pieces,
                 lambda p, i: F.concat(
+                    F.when(i > 0, F.concat(F.lit(_OPEN), (i - 1).cast("string"), F.lit(_CLOSE))).otherwise(F.lit("")),
                     F.replace(p, F.lit(_OPEN), F.lit(_OPEN + _ESCAPE)),
-                    F.when(i < F.size(pieces) - 1, F.concat(F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))).otherwise(F.lit("")),
                 ),
             ),
             "",
         )
-        marker = rf"^{_OPEN}([0-9]+){_CLOSE}$"
 
-        def restored(e: Column) -> Column:
-            index = F.regexp_extract(e, marker, 1)
-            return F.when(index != "", _trimmed(unquote(F.get(spans, F.when(index != "", index).cast("int"))))).otherwise(
-                F.replace(e, F.lit(_OPEN + _ESCAPE), F.lit(_OPEN))
-            )
+    def entries(body: Column, pattern: str, unquote) -> Column:
+        def restored(spans: Column) -> Column:
+            def one(e: Column) -> Column:
+                index = F.regexp_extract(e, marker, 1)
+                plain = F.replace(e, F.lit(_OPEN + _ESCAPE), F.lit(_OPEN))
+                return F.when(index != "", _trimmed(unquote(F.get(spans, F.when(index != "", index).cast("int"))))).otherwise(plain)
+
+            split = F.transform(F.split(masked(F.split(body, pattern, -1)), f"[{delimiters}]", -1), _trimmed)
+            return F.filter(F.transform(F.filter(split, lambda e: e != ""), one), lambda e: e != "")
 
-        split = F.transform(F.split(masked, f"[{delimiters}]", -1), _trimmed)
-        return F.filter(F.transform(F.filter(split, lambda e: e != ""), restored), lambda e: e != "")
+        return let(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), restored)
+
+    def values(text: Column) -> Column:
+        inner = F.substring(text, F.lit(2), F.length(text) - 2)
+        return (
+            F.when(F.lower(text).isin(*no_values), F.array().cast("array<string>"))
+            .when(text.rlike(_IS_LIST), entries(inner, _LIST_SPAN, _unquoted_in_list))
+            .otherwise(entries(text, _plain_span(delimiters), _unquoted_plain))
+        )
 
-    return F.when(F.lower(text).isin(*no_values), F.array().cast("array<string>")).when(
-        is_list, entries(_LIST_SPAN, _unquoted_in_list)
-    ).otherwise(entries(_plain_span(delimiters), _unquoted_plain))
+    return let(_trimmed(F.coalesce(field, F.lit(""))), values)
 
 
 def unpack(df: DataFrame, field: str, value: str = "value", pos: str = "pos", keep: Sequence[str] | None = None, delimiters: str = DELIMITERS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import distinctive, leakage, tokenization
+from . import distinctive, handwritten, leakage, stuffing, tokenization
 
 
 def one_row(df: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
@@ -31,5 +31,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are generated, minified, third-party copies or data blobs."""
+    return handwritten.not_handwritten(table(spark, sf_dir, "files"), table(spark, sf_dir, "file_sources")).select("file_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are mostly repeated keywords, bare links or tags."""
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}

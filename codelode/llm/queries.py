@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import distinctive, handwritten, leakage, stuffing, tokenization
+from . import credentials, distinctive, docpairs, handwritten, leakage, stuffing, tokenization
 
 
 def one_row(df: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
@@ -15,6 +15,16 @@ def one_row(df: DataFrame, key: str, columns: list[str], order: list[str] | None
     return df.groupBy(key).agg(best.alias("__b")).select(key, *[F.col(f"__b.{c}").alias(c) for c in columns])
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions with the documentation that describes them."""
+    return docpairs.documented_functions(table(spark, sf_dir, "symbols"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and methods whose documentation describes them."""
+    return p2_pairs(spark, sf_dir).select("symbol_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most distinctive term of each probe symbol."""
     symbols = one_row(table(spark, sf_dir, "symbols"), "symbol_id", ["name", "docstring", "body_text"])
@@ -31,6 +41,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of symbols on which a credential begins."""
+    found = credentials.credential_lines(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files"))
+    return found.select("symbol_id", F.col("line").alias("body_line"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols with their credentials masked."""
+    symbols = one_row(table(spark, sf_dir, "symbols"), "symbol_id", ["file_id", "body_text"])
+    return credentials.redacted(symbols, table(spark, sf_dir, "files"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that are generated, minified, third-party copies or data blobs."""
     return handwritten.not_handwritten(table(spark, sf_dir, "files"), table(spark, sf_dir, "file_sources")).select("file_id")
@@ -41,5 +63,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}

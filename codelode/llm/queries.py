@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import credentials, distinctive, docpairs, handwritten, leakage, stuffing, tokenization
+from . import credentials, distinctive, docpairs, handwritten, leakage, neighbours, parseability, stuffing, tokenization
 
 
 def one_row(df: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
@@ -41,6 +41,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that don't parse in the language of their extension."""
+    return parseability.invalid_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "file_sources")).select("file_id")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of valid files per project and language."""
+    return parseability.acceptance(parseability.parse_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "file_sources")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of symbols of one model of which one is among the five most similar of the other."""
+    return neighbours.similar_pairs(table(spark, sf_dir, "symbol_embeddings"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of symbols on which a credential begins."""
     found = credentials.credential_lines(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "files"))
@@ -63,5 +78,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLES: dict[str, str] = {}

@@ -44,8 +44,8 @@ MIN_FUNCTION_SHARE, MIN_WORDS = 0.2, 4
 INCOHERENT = 0.36
 #: A pair is repeated if the page has it this often; share of repeated pairs that makes a line stuffed.
 REPEATS, STUFFED_SHARE = 4, 0.2
-#: A long line with so few different words for its length is stuffed even between function words.
-RUN_WORDS, RUN_SHARE, RUN_REPEATED = 20, 0.3, 0.75
+#: A line of so many words, of which no more are different, is stuffed even between function words.
+RUN_WORDS, RUN_VOCABULARY, RUN_REPEATED = 30, 20, 0.75
 
 _FENCE = r"(?s)(?:^|\n)[ \t]*(?:```|~~~).*?(?:\n[ \t]*(?:```|~~~)[^\n]*|\z)"
 _URL = r"(?i)(?:https?://|www\.)[^\s<>\"')\]]+"
@@ -92,7 +92,7 @@ def line_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         .when(F.col("line").rlike(_CODE_LINE), "form")
         .otherwise("loose")
     )
-    run = (n_words >= RUN_WORDS) & (F.size(F.array_distinct("words")) < RUN_SHARE * n_words)
+    run = (n_words >= RUN_WORDS) & (F.size(F.array_distinct("words")) <= RUN_VOCABULARY)
     kinds = lines.select(key, "__all", "at", "chars", "words", shape.alias("shape"), run.alias("run"))
 
     # Corpus counts: every line of every page.

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from ..session import cut_lineage
 
 # Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -30,7 +31,7 @@ FUNCTION_WORDS = frozenset(
     eine einem einen einer er es etwa falls für gegen haben hat hier ich ihr im in ist jede jeden jeder kann kein keine können man mehr mit
     muss nach nicht noch nur ob oder ohne schon sein seit sie sind so sonst über um und uns unter vom von vor war waren warum was weil wenn werden
     wie wieder wir wird wurde zu zum zur
-    à ai ainsi après au aucun aussi autre aux avant avec avons ce cela ces cet cette chaque comme dans de depuis des donc du elle elles en encore
+    à ainsi après au aucun aussi autre aux avant avec avons ce cela ces cet cette chaque comme dans de depuis des donc du elle elles en encore
     est et était être eu fait il ils je la le les leur lorsque lui mais même moins ne ni nous on ont ou où par parce pas peu plus pour pourquoi
     puis que quel qui quoi sa sans se ses si son sont sous sur tant tous tout très trop un une vers vous y
     al ante así aun aunque cada como con cual cuando de del desde donde e el ella en entre era es esa ese eso esta este esto está fue ha hasta
@@ -44,8 +45,10 @@ MIN_FUNCTION_SHARE, MIN_WORDS = 0.2, 4
 INCOHERENT = 0.36
 #: A pair is repeated if the page has it this often; share of repeated pairs that makes a line stuffed.
 REPEATS, STUFFED_SHARE = 4, 0.2
-#: A line of so many words, of which no more are different, is stuffed even between function words.
-RUN_WORDS, RUN_VOCABULARY, RUN_REPEATED = 30, 20, 0.75
+#: A line of so many words, of which no more (and no greater share) are different, is stuffed even between function words.
+RUN_WORDS, RUN_VOCABULARY, RUN_DIFFERENT, RUN_REPEATED = 10, 20, 0.75, 0.5
+#: Such a line still is prose if it ends a sentence and has at least this share of function words.
+RUN_FUNCTION_SHARE = 0.35
 
 _FENCE = r"(?s)(?:^|\n)[ \t]*(?:```|~~~).*?(?:\n[ \t]*(?:```|~~~)[^\n]*|\z)"
 _URL = r"(?i)(?:https?://|www\.)[^\s<>\"')\]]+"
@@ -56,6 +59,7 @@ _BARE_LINK = r"(?i)^\W*(?:(?:https?://|www\.)\S+\W*)+$"
 _LINK_LABELS = r"(?i)^\W*(?:\d+[.)]\s*)?(?:\[[^\]\n]{0,80}\]\([^)\n]*\)[\s|,;·•»*-]*|<a\s[^<>]*>[^<]{0,80}</a>[\s|,;·•»*-]*)+$"
 _HASHTAGS = r"^\W*(?:#[\p{L}\p{N}_]+[\s,;]*){3,}$"
 _HOST = r"(?i)\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|example|info|biz|shop|site|online|dev|co|de|fr|es)\b"
+_SENTENCE_END = r"[.!?…][\s\"')»]*$"
 _CODE_LINE = r"^[\t ]*(?:[{}()\[\];]+|.*[;{}]|(?:def|class|func|fn|let|const|var|return|import|from|public|private|if|for|while)\b.*[:;{(].*|[#/*]{1,3}\s?.*|@\w+.*)\s*$"
 
 
@@ -67,11 +71,18 @@ def _line_words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, at, chars, words): the pages' lines outside code fences; what fences hold is one line without words."""
+    """(key, line, at, chars, w): the pages' lines outside code fences; w has the words, their number, how many are function words, and how many are different."""
     one = docs.groupBy(key).agg(F.max(text).alias("__t")).filter(F.trim("__t") != "")
     body = one.select(key, F.length("__t").alias("__all"), F.regexp_replace("__t", _FENCE, "\n").alias("__b"))
     split = body.select(key, "__all", F.posexplode(F.split("__b", r"[\r\n]+|(?<=[.!?] )(?=#)")).alias("at", "line"))
-    return split.select(key, "__all", "at", "line", F.length(F.trim("line")).alias("chars"), _line_words(F.col("line")).alias("words"))
+    functions = F.array(*[F.lit(w) for w in sorted(FUNCTION_WORDS)])
+    facts = let(
+        _line_words(F.col("line")),
+        lambda w: F.struct(
+            w.alias("words"), F.size(w).alias("n"), F.size(F.filter(w, lambda x: F.array_contains(functions, x))).alias("known"), F.size(F.array_distinct(w)).alias("different")
+        ),
+    )
+    return split.select(key, "__all", "at", "line", F.length(F.trim("line")).alias("chars"), facts.alias("w"))
 
 
 def _pairs(words: Column) -> Column:
@@ -80,24 +91,23 @@ def _pairs(words: Column) -> Column:
 
 def line_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, at, chars, spam): each line of each page with whether it is spam; lines of prose, code, logs and tables are not."""
-    lines = _lines(docs, key, text)
-    functions = F.array(*[F.lit(w) for w in sorted(FUNCTION_WORDS)])
-    n_words = F.size("words")
-    known = F.size(F.filter("words", lambda w: F.array_contains(functions, w)))
+    # Written once, read by the counts and by the lines that are judged: splitting texts is the dear part.
+    lines = cut_lineage(_lines(docs, key, text))
     shape = (
         F.when(F.col("line").rlike(_BARE_LINK) | F.col("line").rlike(_LINK_LABELS) | F.col("line").rlike(_HASHTAGS), "link")
         .when(F.col("line").rlike(_LOG) | F.col("line").rlike(_TABLE), "form")
-        .when((known >= MIN_FUNCTION_SHARE * n_words) & (n_words >= MIN_WORDS), "prose")
-        .when(F.col("line").rlike(_HOST) & (n_words <= 12), "link")
+        .when((F.col("w.known") >= MIN_FUNCTION_SHARE * F.col("w.n")) & (F.col("w.n") >= MIN_WORDS), "prose")
+        .when(F.col("line").rlike(_HOST) & (F.col("w.n") <= 12), "link")
         .when(F.col("line").rlike(_CODE_LINE), "form")
         .otherwise("loose")
     )
-    run = (n_words >= RUN_WORDS) & (F.size(F.array_distinct("words")) <= RUN_VOCABULARY)
-    kinds = lines.select(key, "__all", "at", "chars", "words", shape.alias("shape"), run.alias("run"))
+    run = (F.col("w.n") >= RUN_WORDS) & (F.col("w.different") <= RUN_VOCABULARY) & (F.col("w.different") <= RUN_DIFFERENT * F.col("w.n"))
+    run = run & ((F.col("w.known") < RUN_FUNCTION_SHARE * F.col("w.n")) | ~F.col("line").rlike(_SENTENCE_END))
+    kinds = lines.select(key, "__all", "at", "chars", F.col("w.words").alias("words"), shape.alias("shape"), run.alias("run"))
 
     # Corpus counts: every line of every page.
-    words = lines.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    pairs = lines.select(F.explode(_pairs(F.col("words"))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_pair"))
+    words = lines.select(F.explode("w.words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lines.select(F.explode(_pairs(F.col("w.words"))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_pair"))
     totals = words.agg(F.sum("n").alias("n_words")).crossJoin(pairs.agg(F.sum("n_pair").alias("n_pairs")))  # one row
 
     doubtful = kinds.filter((F.col("shape") == "loose") | ((F.col("shape") == "prose") & F.col("run")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.binding import let
 from ..session import cut_lineage
 
 K1, B = 1.5, 0.75
@@ -77,6 +78,55 @@ def bm25(postings: DataFrame, terms: Sequence[str], key: str = "file_id", top_k:
     return ranked(scored, key, top_k)
 
 
+def term_frequencies(rows: DataFrame, key: str, tokens: Column, terms: Sequence[str], weight: Column | None = None) -> DataFrame:
+    """(key, dl, tf): length and the terms' frequencies per document, from one or more rows of tokens each.
+
+    For a given query nothing is exploded: each row counts its terms in place, and one aggregate with
+    map-side combine adds up a few numbers per document.
+    """
+    weight = F.lit(1).cast("long") if weight is None else weight
+
+    def occurrences(t: Column, term: str) -> Column:
+        return F.size(F.filter(t, lambda x: x == term))
+
+    counted = let(tokens, lambda t: F.array(F.size(t), *[occurrences(t, w) for w in terms]))
+    each = rows.select(key, counted.alias("c"), weight.alias("w"))
+    sums = [F.sum(F.col("c")[i + 1] * F.col("w")).cast("long").alias(f"tf{i}") for i in range(len(terms))]
+    return each.groupBy(key).agg(F.sum(F.col("c")[0] * F.col("w")).cast("long").alias("dl"), *sums).filter("dl > 0")
+
+
+def file_frequencies(files: DataFrame, symbols: DataFrame, terms: Sequence[str], boosts: Mapping[str, int] = BOOSTS) -> DataFrame:
+    """``term_frequencies`` of files, from their paths' stems and their symbols' boosted fields."""
+    generated = is_generated(F.col("path"))
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    half = F.when(F.col("generated"), 0.5).otherwise(1.0)
+    rows = files.select("file_id", T.code_tokens(stem).alias("tokens"), F.lit(2).cast("long").alias("w"))
+    of = symbols.join(files.select("file_id", generated.alias("generated")), "file_id")
+    fields = F.array(
+        F.struct(T.code_tokens(F.col("name")).alias("tokens"), F.greatest(F.lit(1), F.floor(boosts["name"] * half)).cast("long").alias("w")),
+        F.struct(T.code_tokens(F.concat_ws(" ", "qualified", "docstring")).alias("tokens"), F.lit(1).cast("long").alias("w")),
+        F.struct(T.code_tokens(F.col("signature")).alias("tokens"), F.greatest(F.lit(1), F.floor(boosts["signature"] * half)).cast("long").alias("w")),
+        F.struct(F.slice(T.code_tokens(F.col("body_text")), 1, BODY_TOKENS).alias("tokens"), F.lit(1).cast("long").alias("w")),
+    )
+    rows = rows.unionByName(of.select("file_id", F.explode(fields).alias("f")).select("file_id", "f.tokens", "f.w"))
+    return term_frequencies(rows, "file_id", F.col("tokens"), terms, F.col("w"))
+
+
+def bm25_query(frequencies: DataFrame, terms: Sequence[str], key: str = "file_id", top_k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25`` from ``term_frequencies`` of the same terms; the statistics are one row over the same aggregate."""
+    terms = list(dict.fromkeys(terms))
+    frequencies = cut_lineage(frequencies)  # a few numbers per document, read for the statistics and for the scores
+    hits = [F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
+    stats = frequencies.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"), *hits)
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
+        score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))).otherwise(0.0)
+    scored = frequencies.crossJoin(F.broadcast(stats)).select(key, F.round(score, 6).alias("score")).filter("score > 0")
+    return ranked(scored, key, top_k)
+
+
 def ranked(scored: DataFrame, key: str, top_k: int | None = None) -> DataFrame:
     """(key, score, rank): rank from 0 by falling score, then by key. With ``top_k`` only so many rows are sorted at all."""
     rows = scored.select(key, "score")

@@ -146,13 +146,13 @@ def doc_length_stats(spark, d):
 @query(f"WITH {bm25_sql(DOC_POSTINGS, 'doc_id')} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM b ORDER BY score DESC, doc_id LIMIT 50")
 def bm25_topk(spark, d):
     """The 50 best documents for a query."""
-    return rank.bm25(rank.text_postings(documents(spark, d), "doc_id", "text"), TERMS, "doc_id", 50)
+    return rank.bm25_query(rank.term_frequencies(documents(spark, d), "doc_id", T.code_tokens(F.col("text")), TERMS), TERMS, "doc_id", 50)
 
 
 @query(f"WITH {bm25_sql(FILE_POSTINGS, 'file_id')} SELECT file_id, score, row_number() OVER (ORDER BY score DESC, file_id) - 1 AS rank FROM b ORDER BY score DESC, file_id LIMIT 50")
 def bm25f_boosted(spark, d):
     """The 50 best files for a query, with boosted fields."""
-    return rank.bm25(rank.file_postings(current_files(spark, d), current_symbols(spark, d)), TERMS, "file_id", 50)
+    return rank.bm25_query(rank.file_frequencies(current_files(spark, d), current_symbols(spark, d), TERMS), TERMS, "file_id", 50)
 
 
 PAGERANK_ROUNDS = 10
@@ -212,7 +212,7 @@ FUSION = f"""WITH {bm25_sql(DOC_POSTINGS, 'doc_id')}, {RECENCY}, sizes AS (SELEC
 
 def fused(spark, d):
     docs = documents(spark, d)
-    by_text = rank.bm25(rank.text_postings(docs, "doc_id", "text"), TERMS, "doc_id", 50).select(F.col("doc_id").alias("id"), "rank")
+    by_text = rank.bm25_query(rank.term_frequencies(docs, "doc_id", T.code_tokens(F.col("text")), TERMS), TERMS, "doc_id", 50).select(F.col("doc_id").alias("id"), "rank")
     by_time = rank.ranked(recent_targets(spark, d), "target").select(F.col("target").alias("id"), "rank")
     by_size = rank.ranked(docs.groupBy("doc_id").agg(F.max("n_chars").alias("score")), "doc_id").select(F.col("doc_id").alias("id"), "rank")
     return rank.fuse({"bm25": by_text, "recency": by_time, "size": by_size}, "id", {"size": 0.7}, 20)
@@ -674,7 +674,7 @@ PACK = f"""{bm25_sql(FILE_POSTINGS, 'file_id')}, top AS (SELECT file_id, row_num
 
 def candidates(spark, d):
     f, s = current_files(spark, d), current_symbols(spark, d)
-    top = rank.bm25(rank.file_postings(f, s), TERMS, "file_id", 15).select("file_id", "rank")
+    top = rank.bm25_query(rank.file_frequencies(f, s, TERMS), TERMS, "file_id", 15).select("file_id", "rank")
     sizes = s.groupBy("file_id").agg(F.sum(F.length(F.coalesce("signature", F.lit(""))) + 1).alias("sigs"), F.sum(F.length("name") + 1).alias("names"))
     return top.join(f.select("file_id", F.col("byte_size").alias("full"), F.length("path").cast("long").alias("path")), "file_id").join(sizes, "file_id", "left")
 

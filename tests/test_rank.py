@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from codelode.functions import text as T
 from codelode.operators import rank
 
 DOCS = [(1, "graph ledger graph"), (2, "ledger budget of the ledger"), (3, "other words entirely"), (4, None), (5, "")]
@@ -32,6 +33,14 @@ def test_bm25(spark):
     assert rank.bm25(rank.text_postings(docs.limit(0), "id", "text"), ["graph"], "id").count() == 0
 
 
+def test_bm25_without_postings(spark):
+    docs = spark.createDataFrame(DOCS, "id long, text string")
+    terms = ["graph", "ledger"]
+    freq = rank.term_frequencies(docs, "id", T.code_tokens(F.col("text")), terms)
+    assert {r.id: r.score for r in rank.bm25_query(freq, terms, "id").collect()} == brute_bm25(DOCS, terms)
+    assert rank.bm25_query(rank.term_frequencies(docs.limit(0), "id", T.code_tokens(F.col("text")), terms), terms, "id").count() == 0
+
+
 def test_boosts_and_generated(spark):
     files = spark.createDataFrame([(1, "src/main.py"), (2, "vendor/lib.py")], "file_id long, path string")
     symbols = spark.createDataFrame([(1, "budget", "main.budget", "def budget()", None, None), (2, "budget", "lib.budget", "def budget()", None, "x " * 600)], "file_id long, name string, qualified string, signature string, docstring string, body_text string")

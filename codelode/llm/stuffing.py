@@ -47,8 +47,8 @@ INCOHERENT = 0.36
 REPEATS, STUFFED_SHARE = 4, 0.2
 #: A line of so many words, of which no more (and no greater share) are different, is stuffed even between function words.
 RUN_WORDS, RUN_VOCABULARY, RUN_DIFFERENT, RUN_REPEATED = 10, 20, 0.75, 0.5
-#: Such a line still is prose if it ends a sentence and has at least this share of function words.
-RUN_FUNCTION_SHARE = 0.35
+#: Such a line needs a content word with at least this share of its words, and fewer function words than this share.
+RUN_KEYWORD, RUN_FUNCTION_SHARE = 0.15, 0.5
 
 _FENCE = r"(?s)(?:^|\n)[ \t]*(?:```|~~~).*?(?:\n[ \t]*(?:```|~~~)[^\n]*|\z)"
 _URL = r"(?i)(?:https?://|www\.)[^\s<>\"')\]]+"
@@ -59,7 +59,6 @@ _BARE_LINK = r"(?i)^\W*(?:(?:https?://|www\.)\S+\W*)+$"
 _LINK_LABELS = r"(?i)^\W*(?:\d+[.)]\s*)?(?:\[[^\]\n]{0,80}\]\([^)\n]*\)[\s|,;·•»*-]*|<a\s[^<>]*>[^<]{0,80}</a>[\s|,;·•»*-]*)+$"
 _HASHTAGS = r"^\W*(?:#[\p{L}\p{N}_]+[\s,;]*){3,}$"
 _HOST = r"(?i)\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|example|info|biz|shop|site|online|dev|co|de|fr|es)\b"
-_SENTENCE_END = r"[.!?…][\s\"')»]*$"
 _CODE_LINE = r"^[\t ]*(?:[{}()\[\];]+|.*[;{}]|(?:def|class|func|fn|let|const|var|return|import|from|public|private|if|for|while)\b.*[:;{(].*|[#/*]{1,3}\s?.*|@\w+.*)\s*$"
 
 
@@ -75,13 +74,22 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     one = docs.groupBy(key).agg(F.max(text).alias("__t")).filter(F.trim("__t") != "")
     body = one.select(key, F.length("__t").alias("__all"), F.regexp_replace("__t", _FENCE, "\n").alias("__b"))
     split = body.select(key, "__all", F.posexplode(F.split("__b", r"[\r\n]+|(?<=[.!?] )(?=#)")).alias("at", "line"))
-    functions = F.array(*[F.lit(w) for w in sorted(FUNCTION_WORDS)])
-    facts = let(
-        _line_words(F.col("line")),
-        lambda w: F.struct(
-            w.alias("words"), F.size(w).alias("n"), F.size(F.filter(w, lambda x: F.array_contains(functions, x))).alias("known"), F.size(F.array_distinct(w)).alias("different")
-        ),
-    )
+    functions = sorted(FUNCTION_WORDS)  # a set of literals is looked up by hash
+
+    def of_words(w: Column) -> Column:
+        different = F.array_distinct(w)
+        content = F.filter(different, lambda x: ~x.isin(functions))
+        # How often the most frequent content word occurs; only asked of lines with a small vocabulary.
+        most = F.array_max(F.transform(content, lambda x: F.size(F.filter(w, lambda y: y == x))))
+        return F.struct(
+            w.alias("words"),
+            F.size(w).alias("n"),
+            F.size(F.filter(w, lambda x: x.isin(functions))).alias("known"),
+            F.size(different).alias("different"),
+            F.when(F.size(different) <= RUN_VOCABULARY, most).alias("most"),
+        )
+
+    facts = let(_line_words(F.col("line")), of_words)
     return split.select(key, "__all", "at", "line", F.length(F.trim("line")).alias("chars"), facts.alias("w"))
 
 
@@ -101,8 +109,8 @@ def line_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         .when(F.col("line").rlike(_CODE_LINE), "form")
         .otherwise("loose")
     )
-    run = (F.col("w.n") >= RUN_WORDS) & (F.col("w.different") <= RUN_VOCABULARY) & (F.col("w.different") <= RUN_DIFFERENT * F.col("w.n"))
-    run = run & ((F.col("w.known") < RUN_FUNCTION_SHARE * F.col("w.n")) | ~F.col("line").rlike(_SENTENCE_END))
+    # Keywords come in every clause; a word of repeated sentences comes once in each of them.
+    run = (F.col("w.n") >= RUN_WORDS) & (F.col("w.different") <= RUN_DIFFERENT * F.col("w.n")) & (F.col("w.most") >= RUN_KEYWORD * F.col("w.n")) & (F.col("w.known") < RUN_FUNCTION_SHARE * F.col("w.n"))
     kinds = lines.select(key, "__all", "at", "chars", F.col("w.words").alias("words"), shape.alias("shape"), run.alias("run"))
 
     # Corpus counts: every line of every page.

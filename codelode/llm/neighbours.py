@@ -102,6 +102,7 @@ class Graph:
         top = np.argsort(-start, axis=1, kind="stable")[:, :m]
         ids[:, :m], sims[:, :m], opened[:, :m] = self.entries[top], np.take_along_axis(start, top, 1), False
         active = np.arange(q)
+        last_at = np.empty(q * n, dtype=np.int32)  # scratch: the last mention of a (query, vector) pair in a round
         per_round = 4
         while len(active):
             # Each query opens its best unopened vectors.
@@ -123,9 +124,11 @@ class Graph:
             keep = ~seen[who, to]
             who, to = who[keep], to[keep]
             if len(who):
-                # The same vector may be reached from several opened ones: count it once.
-                code = np.unique(who.astype(np.int64) * n + to)
-                who, to = code // n, code % n
+                # The same vector may be reached from several opened ones: the last mention counts.
+                code, mention = who * n + to, np.arange(len(who), dtype=np.int32)
+                last_at[code] = mention
+                once = last_at[code] == mention
+                who, to = who[once], to[once]
                 seen[who, to] = True
                 sim = np.einsum("ij,ij->i", queries[who], self.x[to])
                 better = sim > sims[who, beam - 1]

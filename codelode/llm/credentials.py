@@ -6,7 +6,8 @@
    that looks like one; what remains is confirmed if it is structured or irregular enough.
 3. Every text is scanned again for all confirmed literals with an Aho-Corasick automaton, whatever
    stands around them; so a password also comes out of a comment, a longer string or an address
-   without a telling name. Confirmed literals are broadcast in blocks of ``BLOCK`` entries, one scan
+   without a telling name. A form that several confirmed literals share is looked for likewise, so
+   tokens of unpublished formats are found too. Confirmed literals are broadcast in blocks of ``BLOCK`` entries, one scan
    each, so the automaton's size is bounded however many there are.
 
 Files whose path marks them as a sample, example, template or test fixture hold no findings and
@@ -29,6 +30,8 @@ from ..session import cut_lineage
 SHARED_BY = 5
 #: Confirmed literals in one automaton.
 BLOCK = 100_000
+#: Confirmed literals of one unpublished form from which the form counts as a token format.
+FORM_SUPPORT = 3
 MASK = "***"
 
 # Published formats of access keys and tokens.
@@ -63,11 +66,15 @@ _ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s/:@\"'`<>]*):([^\s/@\"'`<
 _QUERY = re.compile(r"(?i)[?&][\w-]*(?:key|token|secret|passw(?:or)?d|sig(?:nature)?)=([^\s&\"'`#<>]{8,})")
 _SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token)\s+([A-Za-z0-9+/_.~=-]{16,})")
 _OPTION = re.compile(r"(?i)(?:--?(?:password|passwd|pass|token|secret|api-?key|auth)[ =]|\s-u\s+[\w.-]+:)([^\s\"'`]{6,})")
+_INSIDE = re.compile(r"[\"'`]([^\"'`\n]*=[^\"'`\n]*)[\"'`]")
+_ASSIGNED = re.compile(r"(?<![\w$?&])([A-Za-z_][\w-]*)=([^\s;&,()\[\]{}<>]{6,})")
+_LOGIN = re.compile(r"(?i)\b(?:log_?in|sign_?in|authenticate|connect|basic_?auth|set_?credentials|credentials?|with_?auth)\s*\(\s*([\"'])[^\"'\n]*\1\s*,\s*([\"'])([^\"'\n]{6,})\2")
 _PAIR = re.compile(
     r"([A-Za-z_][\w.-]*)[\"']?\]?[^\S\n]*(?::[^\S\n]*[A-Za-z][\w<>\[\], ]*)?(?::=|=>|[:=])"
     r"(?:\s*(?P<q>\"\"\"|[\"'`])(?P<quoted>[^\n]*?)(?P=q)(?P<more>(?:\s*\+?\s*(?:\\\n)?\s*\+\s*[\"'`][^\"'`\n]*[\"'`])*)|[^\S\n]*(?P<bare>[^\s\"'`,;(){}<>]{6,})(?=[^\S\n]*(?:#.*)?$))",
     re.MULTILINE,
 )
+_DOTTED_WORDS = re.compile(r"(?:[A-Za-z][a-z0-9_-]*(?:[A-Z][a-z0-9]+)*\.)+[A-Za-z][a-z]*(?:[A-Z][a-z0-9]+)*")
 _LITERAL = re.compile(r"[\"'`]([^\"'`\n]*)[\"'`]")
 _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----(?=(?:\\n|\\r|\s|\"|'|`|[A-Za-z0-9+/]))")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -77,7 +84,7 @@ _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 CUES = (
     r"(?:[Pp]ass|PASS|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]uth|AUTH|[Kk]ey|KEY|[Cc]redential|CREDENTIAL)\w{0,12}[\"']?\]?\s{0,4}(?::=|=>|[:=])\s{0,4}[\"'`]?[^\s\"'`(]{6}"
     r"|PRIVATE KEY|://[^\s/:@\"'`]{0,40}:[^\s/@\"'`]{3,}@|[?&][\w-]{0,20}=[^\s&\"'`]{8}|[Bb]earer |[Bb]asic |[Tt]oken [A-Za-z0-9+/]{12}|--?(?:passw|pass|token|secret|api)|\s-u\s"
-    r"|AKIA|ASIA|gh[oprsu]_|github_pat_|glpat-|[rs]k_live_|xox[abeoprs]-|AIza|eyJ|npm_|SG\.|ya29\.|dckr_pat_|pypi-"
+    r"|[Ll]og_?[Ii]n\(|[Ss]ign_?[Ii]n\(|[Aa]uthenticate\(|[Cc]onnect\(|[Cc]redentials?\(|AKIA|ASIA|gh[oprsu]_|github_pat_|glpat-|[rs]k_live_|xox[abeoprs]-|AIza|eyJ|npm_|SG\.|ya29\.|dckr_pat_|pypi-"
 )
 
 
@@ -98,7 +105,7 @@ def is_irregular(value: str) -> bool:
     letters, digits = sum(c.isalpha() for c in value), sum(c.isdigit() for c in value)
     if not letters:
         return False
-    if re.fullmatch(r"(?:[A-Za-z][\w-]*\.)+[A-Za-z]+", value) and not re.search(r"[0-9][A-Za-z]|[a-z][A-Z]", value.rsplit(".", 1)[0]):
+    if _DOTTED_WORDS.fullmatch(value) and (value == value.lower() or not digits):
         return False  # a host or a module
     if re.fullmatch(r"(?:[a-z]+[0-9]*[-.])+(?:example|com|net|org|io|internal|local)(?::[0-9]+)?", value):
         return False
@@ -108,7 +115,10 @@ def is_irregular(value: str) -> bool:
     if re.fullmatch(r"[A-Za-z]+(?:[_.-][A-Za-z]+)*", value):
         # Words: only a wild change of case shows a random value.
         turns = sum(a.islower() != b.islower() for a, b in zip(value, value[1:], strict=False) if a.isalpha() and b.isalpha())
-        return turns >= max(4, len(value) // 3) and "_" not in value and "-" not in value
+        run = re.search("[A-Z]{2}[a-z]|[a-z][A-Z]{2}", value)
+        if re.search("[_.-]", value):
+            return turns >= 4 or (turns >= 3 and bool(run))
+        return turns >= max(4, len(value) // 3) or (turns >= 2 and bool(run) and sum(c in "aeiouAEIOU" for c in value) < 0.34 * len(value))
     return digits > 0 or (special > 0 and value.lower() != value and value.upper() != value)
 
 
@@ -138,8 +148,15 @@ def candidates(text: str) -> list[tuple[int, str, str]]:
     for pattern in (_QUERY, _SCHEME, _OPTION):
         for m in pattern.finditer(text):
             value = m[1].rstrip(".,;")
-            if _strong(value) and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+            if _strong(value) and any(c.isalpha() for c in value) and (any(c.isdigit() for c in value) or is_irregular(value)):
                 out.setdefault(m.start(1), (value, "place"))
+    for m in _LOGIN.finditer(text):
+        if is_irregular(m[3]):
+            out.setdefault(m.start(3), (m[3], "place"))
+    for literal in _INSIDE.finditer(text):
+        for m in _ASSIGNED.finditer(literal[1]):
+            if is_secret_name(m[1]) and is_irregular(m[2]):
+                out.setdefault(literal.start(1) + m.start(2), (m[2], "place"))
     for m in _PAIR.finditer(text):
         if not is_secret_name(m[1]):
             continue
@@ -209,25 +226,69 @@ def confirmed_literals(symbols: DataFrame, files: DataFrame, key: str = "symbol_
     return placed.select("key", "file", "line", "value", "how"), rare
 
 
-def _scanner(values: list[str]):
+def format_of(value: str) -> str | None:
+    """The form of a long literal with a short prefix, as a pattern: its prefix, and each part's letters and length."""
+    m = re.match(r"[A-Za-z]{2,8}[._-]", value)
+    if not m:
+        return None
+    pattern, size = re.escape(m[0]), 0
+    for part in re.split(r"([._-])", value[m.end() :]):
+        if part in (".", "_", "-"):
+            pattern += re.escape(part)
+            continue
+        letters = next((c for c in ("[a-z0-9]", "[A-Z0-9]", "[A-Za-z0-9]") if re.fullmatch(c + "+", part)), None)
+        if letters is None:
+            return None
+        pattern, size = f"{pattern}{letters}{{{len(part)}}}", size + len(part)
+    return pattern if size >= 16 and any(c.isdigit() for c in value) else None
+
+
+def _formats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"value": b["value"], "form": [format_of(v) for v in b["value"]]}).dropna()
+
+
+def scan_entries(confirmed: DataFrame) -> DataFrame:
+    """(entry): what the second scan looks for: "=" and a confirmed literal, or "~" and a form that several confirmed literals share.
+
+    So a token whose format nobody published comes out under any name once the corpus has shown the format.
+    """
+    known = confirmed.select(F.concat(F.lit("="), "value").alias("entry"))
+    forms = confirmed.mapInPandas(_formats, "value string, form string").groupBy("form").agg(F.count_distinct("value").alias("n"))
+    return known.unionByName(forms.filter(F.col("n") >= FORM_SUPPORT).select(F.concat(F.lit("~"), "form").alias("entry")))
+
+
+def _scanner(entries: list[str]):
+    """An automaton of literals and of the forms' prefixes; each carries its length and the patterns to try."""
     import ahocorasick
 
+    words: dict[str, list[re.Pattern] | None] = {}
+    for e in entries:
+        if e[0] == "~":
+            prefix = re.match(r"~([A-Za-z]+)\\?([._-])", e)
+            words.setdefault(prefix[1] + prefix[2], []).append(re.compile(e[1:] + r"(?![A-Za-z0-9])"))
+    words |= {e[1:]: None for e in entries if e[0] == "="}
     automaton = ahocorasick.Automaton()
-    for v in values:
-        automaton.add_word(v, len(v))
+    for w, patterns in words.items():
+        automaton.add_word(w, (len(w), patterns))
     automaton.make_automaton()
     return automaton
 
 
 def _spans(automaton, text: str) -> list[tuple[int, int]]:
-    """The places of confirmed literals that aren't part of a longer word, the longer of two that overlap."""
+    """The places of confirmed literals and forms that aren't part of a longer word, the longer of two that overlap."""
     hits = []
-    for end, n in automaton.iter(text):
-        start = end - n + 1
-        before, after = text[start - 1 : start], text[end + 1 : end + 2]
-        if (before.isalnum() and text[start].isalnum()) or (after.isalnum() and text[end].isalnum()):
+    for end, (n, patterns) in automaton.iter(text):
+        start, stop = end - n + 1, end + 1
+        if text[start - 1 : start].isalnum() and text[start].isalnum():
+            continue
+        if patterns is not None:
+            stop = max((m.end() for p in patterns if (m := p.match(text, start))), default=0)
+            if not stop or PLACEHOLDER.search(text[end + 1 : stop]):
+                continue
+        elif text[stop : stop + 1].isalnum() and text[stop - 1].isalnum():
             continue
-        hits.append((start, end + 1))
+        hits.append((start, stop))
     hits.sort(key=lambda h: (h[0], -h[1]))
     out: list[tuple[int, int]] = []
     for h in hits:
@@ -237,11 +298,12 @@ def _spans(automaton, text: str) -> list[tuple[int, int]]:
 
 
 def _blocks(spark, confirmed: DataFrame) -> list:
-    """Broadcast blocks of at most ``BLOCK`` confirmed literals, fetched one block at a time."""
-    numbered = cut_lineage(confirmed.select("value", F.pmod(F.xxhash64("value"), F.lit(1 << 30)).alias("h")))
+    """Broadcast blocks of at most ``BLOCK`` entries, fetched one block at a time."""
+    entries = scan_entries(confirmed).distinct()
+    numbered = cut_lineage(entries.select("entry", F.pmod(F.xxhash64("entry"), F.lit(1 << 30)).alias("h")))
     n = max(1, -(-numbered.count() // (BLOCK * 3 // 4)))
     return [
-        spark.sparkContext.broadcast([r["value"] for r in numbered.filter(F.pmod("h", F.lit(n)) == i).select("value").toLocalIterator()]) for i in range(n)
+        spark.sparkContext.broadcast([r["entry"] for r in numbered.filter(F.pmod("h", F.lit(n)) == i).select("entry").toLocalIterator()]) for i in range(n)
     ]
 
 

@@ -135,13 +135,13 @@ VALID = {
 }
 
 INVALID = {
-    ".py": ["def f(:\n    pass\n", "if x\n    pass\n", "x = = 1\n", "def f():\nreturn 1\n", "    x = 1\ny = 2\n", "f(1) = 2\n", "<<<<<<< HEAD\nx = 1\n=======\n", "x = (1,\n", "s = 'abc\n", "package a\n", "a b\n", "x = 1 +\n", "def f():\n    pass\n   x = 1\n", "class A:\n", "try:\n    pass\n", "return = 1\n"],
-    ".js": ["const x = ;", "function f( { }", "if (a { b }", "}", "let a = 1 b = 2;", "<<<<<<< HEAD\nlet a;\n", "def f(x):\n    return x\n", "const s = \"abc\n", "class A { m( }", "/* open", "return }"],
+    ".py": ['x = "', "def f():\n    \"\"\"open", "def f(:\n    pass\n", "if x\n    pass\n", "x = = 1\n", "def f():\nreturn 1\n", "    x = 1\ny = 2\n", "f(1) = 2\n", "<<<<<<< HEAD\nx = 1\n=======\n", "x = (1,\n", "s = 'abc\n", "package a\n", "a b\n", "x = 1 +\n", "def f():\n    pass\n   x = 1\n", "class A:\n", "try:\n    pass\n", "return = 1\n"],
+    ".js": ['let a = "', "const x = ;", "function f( { }", "if (a { b }", "}", "let a = 1 b = 2;", "<<<<<<< HEAD\nlet a;\n", "def f(x):\n    return x\n", "const s = \"abc\n", "class A { m( }", "/* open", "return }"],
     ".ts": ["let x: = 1;", "interface I { a: }", "function f(a: ) {}", "package main\n", "const x = (a: number => a;"],
-    ".go": ["func f() {}\n", "package a\nfunc f() {\n\tif x {\n}\n", "package a\nx := 1\n", "package a\nfunc f() { return 1 2 }\n", "package a\nvar x = `abc\n", "package a\nclass A {}\n", "package a\nfunc f(a int {\n}\n"],
+    ".go": ['package a\nvar s = "', "func f() {}\n", "package a\nfunc f() {\n\tif x {\n}\n", "package a\nx := 1\n", "package a\nfunc f() { return 1 2 }\n", "package a\nvar x = `abc\n", "package a\nclass A {}\n", "package a\nfunc f(a int {\n}\n"],
     ".java": ["class A { void m() { int x = ; } }", "class A { ", "public void f() {}x", "class A { int x }", "const x = 1;", "class A { void m( { } }", "class A { String s = \"abc; }"],
     ".rs": ["fn f( {}", "fn f() { let x = ; }", "let x = 1;", "struct P { a u8 }", "package a", "fn f() { 1 ", "fn f() { x = (1 }", "import a;"],
-    ".c": ["int f( { return 1; }", "int f() { return 1 }", "int x = ;", "int f() { if (x { } }", "package a\n", "int f() { x = (1; }", "}", "def f(x):\n    return 1\n"],
+    ".c": ['char *s = "', "int f( { return 1; }", "int f() { return 1 }", "int x = ;", "int f() { if (x { } }", "package a\n", "int f() { x = (1; }", "}", "def f(x):\n    return 1\n"],
     ".rb": ["class A\n  def f\n  end\n"], ".php": ["<?php function f( { }"], ".kt": ["fun f( { }"], ".swift": ["func f() { return (1 }"], ".zig": ["fn f() void { \"abc }"], ".sol": ["contract C { function f( }"],
 }
 

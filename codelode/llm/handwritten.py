@@ -23,9 +23,12 @@ LOCK_PATH = r"(?i)(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|p
 # What the opening comment of a generated file, or of a copy, says.
 GENERATED_MARK = (
     r"(?i)(?:^|[^\w\"'`])@generated\b|<auto-?generated|\bcode generated (?:by|from)\b|\b(?:auto(?:matically)?|machine)[- ]?generated (?:by|from|at|with|using|code|file|source)"
-    r"|\b(?:this|the) (?:file|code|source) (?:is|was|has been) (?:auto\w*[- ]?)?generated|\bgenerated (?:by|from|with|using) \S+.{0,60}(?:do not|don't|not) (?:edit|modify|change)|\bedits are overwritten|\bgenerated\b.{0,80}\bdo not (?:edit|modify)"
+    r"|\b(?:this|the) (?:file|code|source) (?:is|was|has been) (?:auto\w*[- ]?)?generated|\bgenerated (?:by|from|with|using) \S+.{0,60}(?:do not|don't|not) (?:edit|modify|change)|\b(?:edits|changes|modifications)\b[^.;]{0,30}\b(?:are|will be|would be|get) (?:overwritten|lost|discarded|replaced|reverted)|\b(?:file|code|source|module|class|header|stub)s? (?:is|was|were|are|has been|have been) (?:\w+ )?(?:created|produced|emitted|built|compiled|rendered|written|derived|output) (?:by|from|with) \S+|\bedit the (?:template|schema|source|generator|grammar|definition|spec)\w* instead|\bgenerated\b.{0,80}\bdo not (?:edit|modify)"
+)
+COPY_MARK = (
+    r"(?i)\b(?:imported|copied|vendored|taken|borrowed|synced|mirrored|forked|extracted|backported|pulled|adapted) (?:verbatim |unchanged |unmodified )?from \S+.{0,60}\bv?[0-9]+\.[0-9]+|\bupstream (?:copy|version|release|source|file)\b|\blocal (?:changes|modifications|patches)\s*:|\bvendored (?:copy|from|version)\b|\bthird[- ]party (?:code|copy|source)\b|"
+    r"\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)?\b.{0,120}(?:\blicen[cs]ed?\b|\(c\)|\bcopyright\b)|(?:\(c\)|\bcopyright\b).{0,80}\bv?[0-9]+\.[0-9]+\.[0-9]+\b"
 )
-COPY_MARK = r"(?i)\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)?\b.{0,120}(?:\blicen[cs]ed?\b|\(c\)|\bcopyright\b)|(?:\(c\)|\bcopyright\b).{0,80}\bv?[0-9]+\.[0-9]+\.[0-9]+\b"
 
 #: The comment that may open a file, after a possible hash-bang line or byte order mark.
 _OPENING = r"(?s)^﻿?(?:#![^\n]*\n)?((?:\s*(?://[^\n]*|#(?!include|define|if|pragma|undef|import|!?\[)[^\n]*|/\*.*?\*/|--[^\n]*|<!--.*?-->))+)"

@@ -49,7 +49,10 @@ REPEATS, STUFFED_SHARE = 4, 0.2
 RUN_WORDS, RUN_VOCABULARY, RUN_DIFFERENT, RUN_REPEATED = 10, 20, 0.75, 0.5
 #: Such a line needs a content word with at least this share of its words, and fewer function words than this share.
 RUN_KEYWORD, RUN_FUNCTION_SHARE = 0.15, 0.5
+#: Share of different words below which a line of four times ``RUN_WORDS`` goes round in circles.
+RUN_FEW = 0.15
 
+_FORWARDED = r"(?i)^\s*(?:(?:re|fwd?|aw|wg|tr)\s*:\s*|\(copy\)\s*)+"
 _FENCE = r"(?s)(?:^|\n)[ \t]*(?:```|~~~).*?(?:\n[ \t]*(?:```|~~~)[^\n]*|\z)"
 _URL = r"(?i)(?:https?://|www\.)[^\s<>\"')\]]+"
 _TAG = r"<[^<>\n]*>"
@@ -74,11 +77,12 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     one = docs.groupBy(key).agg(F.max(text).alias("__t")).filter(F.trim("__t") != "")
     body = one.select(key, F.length("__t").alias("__all"), F.regexp_replace("__t", _FENCE, "\n").alias("__b"))
     split = body.select(key, "__all", F.posexplode(F.split("__b", r"[\r\n]+|(?<=[.!?] )(?=#)")).alias("at", "line"))
+    split = split.withColumn("line", F.regexp_replace("line", _FORWARDED, ""))
     functions = sorted(FUNCTION_WORDS)  # a set of literals is looked up by hash
 
     def of_words(w: Column) -> Column:
         different = F.array_distinct(w)
-        content = F.filter(different, lambda x: ~x.isin(functions))
+        content = F.filter(different, lambda x: ~x.isin([*functions, "0"]))
         # How often the most frequent content word occurs; only asked of lines with a small vocabulary.
         most = F.array_max(F.transform(content, lambda x: F.size(F.filter(w, lambda y: y == x))))
         return F.struct(
@@ -110,7 +114,11 @@ def line_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         .otherwise("loose")
     )
     # Keywords come in every clause; a word of repeated sentences comes once in each of them.
-    run = (F.col("w.n") >= RUN_WORDS) & (F.col("w.different") <= RUN_DIFFERENT * F.col("w.n")) & (F.col("w.most") >= RUN_KEYWORD * F.col("w.n")) & (F.col("w.known") < RUN_FUNCTION_SHARE * F.col("w.n"))
+    n = F.col("w.n")
+    dense = (n >= RUN_WORDS) & (F.col("w.different") <= RUN_DIFFERENT * n) & (F.col("w.most") >= RUN_KEYWORD * n) & (F.col("w.known") < RUN_FUNCTION_SHARE * n)
+    # Or a long line turns round very few words.
+    round_and_round = (n >= 4 * RUN_WORDS) & (F.col("w.different") <= F.least(F.lit(RUN_VOCABULARY), RUN_FEW * n))
+    run = dense | round_and_round
     kinds = lines.select(key, "__all", "at", "chars", F.col("w.words").alias("words"), shape.alias("shape"), run.alias("run"))
 
     # Corpus counts: every line of every page.

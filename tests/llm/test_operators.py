@@ -112,7 +112,7 @@ VALID = {
     ],
     ".ts": [
         "export function f<T extends object = {}>(a: Map<string, number[]>, b?: T): asserts a is X;\nexport abstract class A<T> implements I, J { private readonly x: number = 1; constructor(public y?: string) { super() } abstract m(): void; [k: string]: any }\n",
-        "type X = { readonly [K in keyof T]?: T[K] } & (A | B)[];\ninterface I extends J<K> { (a: number): string; new (x: T): U; m?(): void; }\nenum E { A = 1, B }\nlet v = <any>x as unknown as Y<Z>;\nconst g = (a: number): string => `${a}`;\ndeclare module 'm' { export const q: typeof import('x'); }\n",
+        "type X = { readonly [K in keyof T]?: T[K] } & (A | B)[];\ninterface I extends J<K> { (a: number): string; new (x: T): U; m?(): void; }\nenum E { A = 1, B }\nlet v = <any>x as unknown as Y<Z>;\nconst g = (a: number): string => `${a}`;\ndeclare const w: number;\ndeclare module 'm' { export const q: typeof import('x'); }\n",
         "const x = a < b && c > d;\nf<string>(x)!;\nlet t: [a: string, b?: number];\nlet u: T extends U ? X : Y;\nfor (const k in o) {}\nimport type { Q } from 'q';\nfunction h(this: Window, ...r: any[]): x is string {}\n",
     ],
     ".go": [
@@ -137,7 +137,7 @@ VALID = {
 INVALID = {
     ".py": ['x = "', "def f():\n    \"\"\"open", "def f(:\n    pass\n", "if x\n    pass\n", "x = = 1\n", "def f():\nreturn 1\n", "    x = 1\ny = 2\n", "f(1) = 2\n", "<<<<<<< HEAD\nx = 1\n=======\n", "x = (1,\n", "s = 'abc\n", "package a\n", "a b\n", "x = 1 +\n", "def f():\n    pass\n   x = 1\n", "class A:\n", "try:\n    pass\n", "return = 1\n"],
     ".js": ['let a = "', "const x = ;", "function f( { }", "if (a { b }", "}", "let a = 1 b = 2;", "<<<<<<< HEAD\nlet a;\n", "def f(x):\n    return x\n", "const s = \"abc\n", "class A { m( }", "/* open", "return }"],
-    ".ts": ["let x: = 1;", "interface I { a: }", "function f(a: ) {}", "package main\n", "const x = (a: number => a;"],
+    ".ts": ["let x: = 1;", "const x: number;", "interface I { a: }", "function f(a: ) {}", "package main\n", "const x = (a: number => a;"],
     ".go": ['package a\nvar s = "', "func f() {}\n", "package a\nfunc f() {\n\tif x {\n}\n", "package a\nx := 1\n", "package a\nfunc f() { return 1 2 }\n", "package a\nvar x = `abc\n", "package a\nclass A {}\n", "package a\nfunc f(a int {\n}\n"],
     ".java": ["class A { void m() { int x = ; } }", "class A { ", "public void f() {}x", "class A { int x }", "const x = 1;", "class A { void m( { } }", "class A { String s = \"abc; }"],
     ".rs": ["fn f( {}", "fn f() { let x = ; }", "let x = 1;", "struct P { a u8 }", "package a", "fn f() { 1 ", "fn f() { x = (1 }", "import a;"],

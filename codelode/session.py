@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +51,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable for the session's Python workers, once per application.
+
+    Needed where the workers' path doesn't have it: they import the package that the functions they
+    are sent belong to. The archive lies in the shared checkpoint folder and is served by the driver.
+    """
+    app = spark.sparkContext.applicationId
+    root = Path(__file__).resolve().parent.parent
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if app in _shipped or root in on_path or Path.cwd().resolve() == root:
+        return
+    folder = checkpoint_dir(spark)
+    local = folder.removeprefix("file://").removeprefix("file:") if folder.startswith(("file:", "/")) else tempfile.mkdtemp(prefix="codelode-")
+    os.makedirs(local, exist_ok=True)
+    archive = Path(local, f"codelode-{app}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(Path(__file__).resolve().parent.rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)

@@ -63,3 +63,13 @@ def insert_docstring(text: Column, line: Column | int, doc: Column | str) -> Col
 def inline_return(text: Column) -> Column:
     """The expression of a helper whose body is a single return; null for other bodies."""
     return F.nullif(F.regexp_extract(text, r"^\s*def \w+\([^)]*\)[^:]*:\s*\n?\s*return[ \t]+([^\n]+?)\s*$", 1), F.lit(""))
+
+
+def identifier_at(text: Column, line: Column | int, column: Column | int) -> Column:
+    """The identifier around a place (line from 1, column from 0), both ways over letters, digits and underscores; empty if there is none."""
+    line = line if isinstance(line, Column) else F.lit(line)
+    column = column if isinstance(column, Column) else F.lit(column)
+    row = F.coalesce(F.get(F.split(text, "\n", -1), line - 1), F.lit(""))
+    before = F.regexp_extract(F.substring(row, F.lit(1), column), r"(\w*)$", 1)
+    after = F.regexp_extract(F.substring(row, column + 1, F.length(row)), r"^(\w*)", 1)
+    return F.concat(before, after)

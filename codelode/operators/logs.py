@@ -94,6 +94,28 @@ def rank_quality(accessed: DataFrame, results: DataFrame, miss: int = 50) -> Dat
     return row.withColumn("confidence", label)
 
 
+def tuned(quality: DataFrame) -> DataFrame:
+    """One row (confidence, name_boost, signature_boost, recency_weight, pagerank_weight) by the tuning rules.
+
+    ``quality`` is one row with n_queries, avg_rank and the rates name_miss, signature_hit, recency_hit and hub_hit.
+    With fewer than ten queries nothing changes.
+    """
+    enough, low = F.col("n_queries") >= 10, F.col("avg_rank") > 10
+    return quality.select(
+        F.when(~enough, "low").when(F.col("avg_rank") <= 5, "high").when(F.col("avg_rank") <= 10, "medium").otherwise("low").alias("confidence"),
+        F.when(enough & low & (F.col("name_miss") > 0.3), 4).otherwise(3).alias("name_boost"),
+        F.when(enough & low & (F.col("signature_hit") > 0.5), 3).otherwise(2).alias("signature_boost"),
+        F.when(enough & (F.col("recency_hit") > 0.6), 1.5).otherwise(1.0).alias("recency_weight"),
+        F.when(enough & (F.col("hub_hit") > 0.5), 1.5).otherwise(1.0).alias("pagerank_weight"),
+    )
+
+
+def merged_edits(old: Column, new: Column, limit: int = 50) -> Column:
+    """The union of two lists of edited files, sorted, at most ``limit``."""
+    none = F.array().cast("array<string>")
+    return F.slice(F.array_sort(F.array_union(F.coalesce(old, none), F.coalesce(new, none))), 1, limit)
+
+
 def funnel(events: DataFrame, steps: list[str]) -> DataFrame:
     """(step, name, users): users who did the first steps in this order, each strictly after the one before.
 

@@ -18,6 +18,22 @@ def is_important(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"([^/]*)$", 1)).isin(*IMPORTANT)
 
 
+def form_texts(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_id, sigs, names, path): a file's poorer forms as texts.
+
+    sigs: signatures with documentation cut at 200 characters; names: kinds and names in two columns.
+    Symbols come in the order of their lines; a file without symbols has null forms besides its path.
+    """
+    doc = F.when(F.length("docstring") > 200, F.concat(F.substring("docstring", 1, 200), F.lit("..."))).otherwise(F.col("docstring"))
+    sig = F.concat_ws("\n    ", F.coalesce("signature", "name"), F.nullif(doc, F.lit("")))
+    name = F.concat(F.when(F.length("kind") < 10, F.rpad("kind", 10, " ")).otherwise(F.col("kind")), F.lit(" "), "name")
+    ordered = F.array_sort(F.collect_list(F.struct("line_start", "symbol_id", sig.alias("sig"), name.alias("nm"))))
+    forms = symbols.groupBy("file_id").agg(ordered.alias("o")).select(
+        "file_id", F.array_join(F.transform("o", lambda x: x["sig"]), "\n").alias("sigs"), F.array_join(F.transform("o", lambda x: x["nm"]), "\n").alias("names")
+    )
+    return files.select("file_id", "path").join(forms, "file_id", "left").select("file_id", "sigs", "names", "path")
+
+
 def pack(candidates: DataFrame, budget: int) -> DataFrame:
     """(file_id, granularity, char_count, pos): files in rank order, each in the richest form that still fits, or skipped.
 

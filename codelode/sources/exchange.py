@@ -99,3 +99,20 @@ def project_registry(text: str) -> tuple[list[dict], list[str]]:
         clusters = [c["name"] for c in data.get("clusters", data.get("cluster", [])) if p["name"] in c.get("projects", [])]
         projects.append({"name": p["name"], "root": p["root"], "languages": list(p.get("languages", [])), "clusters": clusters})
     return projects, warnings
+
+
+def append_audit(records: DataFrame, path: str) -> None:
+    """Adds audit records as JSON lines; earlier files stay."""
+    records.write.mode("append").json(path)
+
+
+def changed_since(spark: SparkSession, root: str, ref: str, seconds: float = 10.0) -> DataFrame:
+    """(path): files that differ between a git reference and the working head; none if git fails or takes too long."""
+    import subprocess
+
+    try:
+        run = subprocess.run(["git", "-C", root, "diff", "--name-only", ref, "HEAD"], capture_output=True, text=True, timeout=seconds, check=True)
+        paths = [(p,) for p in run.stdout.splitlines() if p]
+    except (OSError, subprocess.SubprocessError):
+        paths = []
+    return spark.createDataFrame(paths, "path string")

@@ -123,3 +123,45 @@ def test_edits(spark):
     d = spark.createDataFrame([("def f():\n    return 1",)], "x string")
     assert d.select(edit.insert_docstring(F.col("x"), 1, "says").alias("v")).first().v == 'def f():\n    """says"""\n    return 1'
     assert d.select(edit.inline_return(F.col("x")).alias("v")).first().v == "1"
+
+
+def test_concepts(spark):
+    from codelode.operators import concepts as C
+
+    schema = "concept_id long, name string, kind string, summary string, body string, confidence double, created_at double, updated_at double"
+    known = spark.createDataFrame([(1, "Cache", "concept", "s", None, 0.5, 1.0, 1.0), (4, "Été", "risk", "s", None, 0.5, 1.0, 1.0)], schema)
+    changes = spark.createDataFrame(
+        [("CACHE", "pattern", "new", None, 0.9), ("graph", "concept", "g", None, 0.1), ("Graph", "concept", "g", None, 0.2), ("x", "nonsense", "", None, 0.5), (" ", "concept", "", None, 0.5), ("y", "concept", "", None, 2.0)],
+        "name string, kind string, summary string, body string, confidence double",
+    )
+    out = C.upsert_concepts(known, changes, 9.0)
+    assert rows(out, "concept_id", "name", "kind", "updated_at") == [(1, "Cache", "pattern", 9.0), (4, "Été", "risk", 1.0), (5, "graph", "concept", 9.0)]
+    assert C.upsert_concepts(known.limit(0), changes.limit(0), 9.0).count() == 0
+    edges = spark.createDataFrame([(1, 4, "refines", 1.0)], "source_id long, target_id long, relation string, weight double")
+    links = spark.createDataFrame([(1, 4, "refines", 2.0, 1), (1, 4, "refines", 3.0, 2), (1, 1, "refines", 1.0, 3), (4, 1, "odd", 1.0, 4), (4, 1, "used_by", 1.0, 5)], "source_id long, target_id long, relation string, weight double, seq long")
+    linked = C.link_concepts(edges, links)
+    assert rows(linked, "source_id", "target_id", "relation", "weight") == [(1, 4, "refines", 3.0), (4, 1, "used_by", 1.0)]
+    names = spark.createDataFrame([("cache",), ("New",), ("new",)], "name string")
+    assert rows(C.missing_names(known, names), "name") == [("New",)]
+    files = spark.createDataFrame([(7, "a.py"), (8, "b.py")], "file_id long, path string")
+    none = spark.createDataFrame([], "concept_id long, file_id long, weight double")
+    change = spark.createDataFrame([(1, 7, 0.5, 1), (1, 7, 0.9, 2), (2, 7, 1.0, 3), (1, 99, 1.0, 4), (4, 8, 0.1, 5)], "concept_id long, file_id long, weight double, seq long")
+    attached = C.attach(none, change, known, files, "file_id")
+    assert rows(attached, "concept_id", "file_id", "weight") == [(1, 7, 0.9), (4, 8, 0.1)]
+    assert [r.path for r in C.linked_objects(attached, known, files, "file_id").collect()] == ["a.py", "b.py"]
+    rest, kept = C.delete_concepts(known, linked, spark.createDataFrame([("cAcHe",)], "name string"))
+    assert rows(rest, "concept_id") == [(4,)] and kept.count() == 0
+
+
+def test_tuning_and_forms(spark):
+    q = spark.createDataFrame([(12, 11.0, 0.5, 0.6, 0.7, 0.1)], "n_queries long, avg_rank double, name_miss double, signature_hit double, recency_hit double, hub_hit double")
+    assert tuple(logs.tuned(q).first()) == ("low", 4, 3, 1.5, 1.0)
+    assert tuple(logs.tuned(q.withColumn("n_queries", F.lit(3))).first()) == ("low", 3, 2, 1.0, 1.0)
+    lists = spark.createDataFrame([(["b", "a"], ["a", "c"]), (None, ["x"])], "o array<string>, n array<string>")
+    assert [r.v for r in lists.select(logs.merged_edits(F.col("o"), F.col("n"), 2).alias("v")).collect()] == [["a", "b"], ["x"]]
+    f = spark.createDataFrame([(1, "a.py"), (2, "b.py")], "file_id long, path string")
+    s = spark.createDataFrame([(2, 1, 9, "g", "function", None, None), (1, 1, 3, "f", "method", "def f()", "d" * 300)], "symbol_id long, file_id long, line_start long, name string, kind string, signature string, docstring string")
+    forms = {r.file_id: r for r in pack.form_texts(f, s).collect()}
+    assert forms[1].sigs == "def f()\n    " + "d" * 200 + "...\ng" and forms[1].names == "method     f\nfunction   g" and forms[2].sigs is None
+    t = spark.createDataFrame([("x = my_name(1)\ny",)], "x string")
+    assert [t.select(edit.identifier_at(F.col("x"), line, col).alias("v")).first().v for line, col in ((1, 6), (1, 4), (1, 3), (2, 0), (9, 0))] == ["my_name", "my_name", "", "y", ""]

@@ -17,13 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
 #: Vectors of a model and size that the centres are fitted on at most.
 SAMPLE = 20_000
 #: Vectors a cell should hold, the most centres of one model, and the most vectors of one graph.
@@ -34,6 +31,8 @@ PROBES, PROBE_MARGIN = 3, 0.12
 DEGREE, BUILD_WIDTH, ALPHA = 14, 24, 1.2
 #: Beam of the final search and the entry points it starts from.
 BEAM, ENTRIES = 32, 24
+#: Cosines that agree to so many digits, the accuracy of single precision, are ties.
+DIGITS = 7
 SEED = 20250101
 
 
@@ -42,7 +41,7 @@ def usable(df: DataFrame, key: str, model: str, dim: str, vector: str) -> DataFr
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = df.filter(F.col(key).isNotNull() & F.col(model).isNotNull() & (F.size(v) == F.col(dim)) & finite & F.exists(v, lambda x: x != 0))
-    return good.select(F.col(key).alias("id"), F.col(model).alias("model"), F.col(dim).cast("int").alias("dim"), v.cast("array<double>").alias("vector"))
+    return good.select(F.col(key).alias("id"), F.col(model).alias("model"), F.col(dim).cast("int").alias("dim"), v.alias("vector"))
 
 
 def _normalised(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -216,8 +215,8 @@ class Graph:
             at += self.degree
 
 
-def _assign(dims: dict[tuple[str, int], np.ndarray]):
-    """Arrow stage: each vector with its cell, and once more as a query for each further cell it visits."""
+def _assign(dims: dict[tuple[str, int], np.ndarray], count: bool = False):
+    """Arrow stage: each vector with its cell, and once more as a query for each further cell it visits; or only the cells' numbers of vectors."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,6 +228,12 @@ def _assign(dims: dict[tuple[str, int], np.ndarray]):
                 x = _normalised(part["vector"], dim)
                 centres = dims[(model, dim)]
                 sims = x.astype(np.float32) @ centres.T
+                if count:
+                    cells, n = np.unique(sims.argmax(axis=1), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([model] * len(cells)), pa.array(np.full(len(cells), dim, dtype=np.int32)), pa.array(cells.astype(np.int32)), pa.array(n.astype(np.int64))], names=["model", "dim", "cell", "n"]
+                    )
+                    continue
                 m = min(PROBES, sims.shape[1])
                 near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
                 value = np.take_along_axis(sims, near, 1)
@@ -278,11 +283,14 @@ def _cell_search(k: int):
             starts = np.searchsorted(inverse[by], np.arange(len(unique)))
             counts = np.bincount(inverse, minlength=len(unique))
             graph = Graph(unique)
+            lengths, unique_lengths = (np.linalg.norm(v.astype(np.float64), axis=1) for v in (x, unique))
             want = min(len(unique), k + 1)
             for lo in range(0, len(asking), 2048):
                 rows = asking[lo : lo + 2048]
                 found, _ = graph.search(np.ascontiguousarray(x[rows]), max(BEAM, want), want)
                 exact = np.einsum("id,ijd->ij", x[rows].astype(np.float64), unique[np.maximum(found, 0)].astype(np.float64))
+                # Units are kept in single precision: their true lengths undo its rounding.
+                exact /= lengths[rows, None] * unique_lengths[np.maximum(found, 0)]
                 for r in range(k + 1):
                     # The r-th copy of each node.
                     has = (found >= 0) & (counts[np.maximum(found, 0)] > r)
@@ -309,11 +317,45 @@ def nearest(df: DataFrame, k: int = 5, key: str = "symbol_id", model: str = "mod
     The search is approximate: measured recall is in the README.
     """
     spark = df.sparkSession
+    kind = dict(df.dtypes)[key]
     good = usable(df, key, model, dim, vector)
     sizes = {(r["model"], r["dim"]): r["n"] for r in good.groupBy("model", "dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        kind = dict(df.dtypes)[key]
         return spark.createDataFrame([], f"id {kind}, model string, dim int, other {kind}, cosine double, rank int")
+    # Exact copies are one class, represented by its smallest id: a group of very many copies is one row from here on.
+    group = ["model", "dim"]
+    copy_key = [F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2")]
+    classes = good.groupBy(*group, "vector").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    found = _class_pairs(classes.select("id", *group, "vector"), good, sizes, kind, k)
+    if min_cosine is not None:
+        found = found.filter(F.col("cosine") >= min_cosine)
+    pairs = found.groupBy("id", *group, "other").agg(F.least(F.lit(1.0), F.max(F.round("cosine", DIGITS))).alias("cosine"))
+    best = Window.partitionBy("id", *group).orderBy(F.desc("cosine"), "other")
+    near = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    # Classes of several ids, and the k + 1 smallest of each: more can't be in anyone's top k.
+    several = classes.filter("id <> last").select("id", *group, *copy_key).withColumnRenamed("id", "rep")
+    members = good.select("id", *group, *copy_key).join(several, [*group, "h1", "h2"]).select("rep", *group, "id").distinct()
+    smallest = members.withColumn("r", F.row_number().over(Window.partitionBy("rep", *group).orderBy("id"))).filter(F.col("r") <= k + 1).drop("r")
+    others = smallest.select(F.col("rep").alias("other"), *group, F.col("id").alias("copy"))
+    spread = near.join(others, ["other", *group], "left").select("id", *group, F.coalesce("copy", "other").alias("other"), "cosine")
+    own = smallest.select(F.col("rep").alias("id"), *group, F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
+    if min_cosine is not None and min_cosine > 1:
+        own = own.limit(0)
+    # A class's list is short: k neighbours of k + 1 copies at most, and its own.
+    entries = F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "other")))
+    lists = spread.unionByName(own).groupBy("id", *group).agg(entries.alias("near"))
+    # An inner join, so that a class of very many ids may be split over tasks.
+    shared = lists.join(members.select(F.col("rep").alias("id"), *group, F.col("id").alias("member")), ["id", *group]).select(F.col("member").alias("id"), *group, "near")
+    alone = lists.join(several.select(F.col("rep").alias("id"), *group), ["id", *group], "left_anti").select("id", *group, "near")
+    mine = alone.unionByName(shared)
+    mine = mine.select("id", *group, F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k).alias("near"))
+    flat = mine.select("id", *group, F.posexplode("near").alias("at", "x"))
+    return flat.select("id", *group, "x.other", (-F.col("x.c")).alias("cosine"), (F.col("at") + 1).alias("rank"))
+
+
+def _class_pairs(reps: DataFrame, good: DataFrame, sizes: dict[tuple[str, int], int], kind: str, k: int) -> DataFrame:
+    """(id, model, dim, other, cosine): what the cells' graphs find among vectors of which no two are equal."""
     # Each model's bounded sample, drawn by the hash of the id: at most about SAMPLE rows of each come to the driver.
     share = F.create_map(*[x for (m, d), n in sizes.items() for x in (F.lit(f"{m}\x00{d}"), F.lit(min(1.0, SAMPLE / n)))])
     draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003.0
@@ -325,29 +367,22 @@ def nearest(df: DataFrame, k: int = 5, key: str = "symbol_id", model: str = "mod
         if not len(at):
             centres[(m, d)] = np.eye(1, d, dtype=np.float32)
             continue
-        x = _normalised(sampled.take(pa.array(at))["vector"], d)
-        centres[(m, d)] = fit_centres(x, int(max(1, min(MAX_CENTRES, -(-n // CELL), max(1, len(at) // 8)))))
-    kind = dict(df.dtypes)[key]
-    placed = good.mapInArrow(_assign(centres), f"id {kind}, model string, dim int, cell int, own boolean, unit binary")
-    # Hot cells are split: a stored row goes to one part, a query to every part.
-    heavy = placed.filter("own").groupBy("model", "dim", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_CELL)
-    parts = {(r["model"], r["dim"], r["cell"]): -(-r["n"] // MAX_CELL) for r in heavy.collect()}  # at most MAX_CENTRES rows a model
+        x = np.unique(_normalised(sampled.take(pa.array(at))["vector"], d), axis=0)
+        centres[(m, d)] = fit_centres(x, int(max(1, min(MAX_CENTRES, -(-n // CELL), max(1, len(x) // 8)))))
+    schema = f"id {kind}, model string, dim int, cell int, own boolean, unit binary"
+    # Hot cells are split: a stored row goes to one part, a query to every part. Counted over all rows, copies included: a bound.
+    crowd = good.mapInArrow(_assign(centres, count=True), "model string, dim int, cell int, n long").groupBy("model", "dim", "cell").agg(F.sum("n").alias("n"))
+    parts = {(r["model"], r["dim"], r["cell"]): -(-r["n"] // MAX_CELL) for r in crowd.filter(F.col("n") > MAX_CELL).collect()}  # at most MAX_CENTRES rows a model
     one = F.lit(1)
     n_parts = one
     if parts:
         lookup = F.create_map(*[x for (m, d, c), n in parts.items() for x in (F.lit(f"{m}\x00{d}\x00{c}"), F.lit(int(n)))])
         n_parts = F.coalesce(lookup[F.concat_ws("\x00", "model", F.col("dim").cast("string"), F.col("cell").cast("string"))], one)
+    placed = reps.mapInArrow(_assign(centres), schema)
     home = F.pmod(F.xxhash64("id"), n_parts)
     spread = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), n_parts.cast("long") - 1)))
     spread = spread.withColumn("role", F.when(F.col("own") & (F.col("part") == home), 3).otherwise(2).cast("int"))
-    found = spread.groupBy("model", "dim", "cell", "part").applyInArrow(
-        _cell_search(k), f"id {kind}, model string, dim int, other {kind}, cosine double"
-    )
-    if min_cosine is not None:
-        found = found.filter(F.col("cosine") >= min_cosine)
-    pairs = found.groupBy("id", "model", "dim", "other").agg(F.max(F.round("cosine", 9)).alias("cosine"))
-    best = Window.partitionBy("id", "model", "dim").orderBy(F.desc("cosine"), "other")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return spread.groupBy("model", "dim", "cell", "part").applyInArrow(_cell_search(k), f"id {kind}, model string, dim int, other {kind}, cosine double")
 
 
 def similar_pairs(df: DataFrame, k: int = 5, min_cosine: float = 0.85, **columns) -> DataFrame:

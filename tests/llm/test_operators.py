@@ -246,6 +246,15 @@ def test_unusable_vectors_ties_and_copies(spark):
     assert neighbours.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_a_third_of_equal_vectors(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=8).astype(np.float32) for i in range(200)}
+    hot = rng.normal(size=8).astype(np.float32)
+    vectors |= {i: hot for i in range(200, 300)} | {300: (hot + 0.05 * rng.normal(size=8)).astype(np.float32), 301: 2 * hot}
+    df = spark.createDataFrame([(i, "m", 8, [float(x) for x in v], 0) for i, v in vectors.items()], VECTORS)
+    assert set(map(tuple, neighbours.similar_pairs(df).collect())) == brute_pairs(vectors, 5, 0.85)
+
+
 def test_hot_cell_is_split(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "MAX_CELL", 40)
     monkeypatch.setattr(neighbours, "CELL", 10_000)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -80,14 +80,36 @@ _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----(?=
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
-#: Cues in Java's syntax: a text without any of them can't hold a literal that the extraction accepts.
-CUES = (
-    r"(?:[Pp]ass|PASS|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]uth|AUTH|[Kk]ey|KEY|[Cc]redential|CREDENTIAL)\w{0,12}[\"']?\]?\s{0,4}(?::=|=>|[:=])\s{0,4}[\"'`]?[^\s\"'`(]{6}"
-    r"|PRIVATE KEY|://[^\s/:@\"'`]{0,40}:[^\s/@\"'`]{3,}@|[?&][\w-]{0,20}=[^\s&\"'`]{8}|[Bb]earer |[Bb]asic |[Tt]oken [A-Za-z0-9+/]{12}|--?(?:passw|pass|token|secret|api)|\s-u\s"
-    r"|[Ll]og_?[Ii]n\(|[Ss]ign_?[Ii]n\(|[Aa]uthenticate\(|[Cc]onnect\(|[Cc]redentials?\(|AKIA|ASIA|gh[oprsu]_|github_pat_|glpat-|[rs]k_live_|xox[abeoprs]-|AIza|eyJ|npm_|SG\.|ya29\.|dckr_pat_|pypi-"
+# Cues: a text without any of them can't hold a literal that the extraction accepts. Plain words are searched as
+# bytes; a pattern runs only on texts that hold its word. The name's pattern is anchored at the sign after the name.
+_CUE_WORDS = (
+    "AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "k_live_", "xox", "AIza", "eyJ", "npm_", "SG.", "ya29.", "dckr_pat_", "pypi-", "PRIVATE KEY", "earer ", "asic ",
+)
+_NAMES = "[Pp]ass|PASS|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]uth|AUTH|[Kk]ey|KEY|[Cc]redential|CREDENTIAL"
+_NAMED = rf"[:=]\s{{0,4}}[\"'`]?(?=[^\s\"'`(]{{6}})(?<=(?:{_NAMES})\w{{0,12}}[\"']?\]?\s{{0,4}}[:=]{{1,2}}>?\s{{0,4}}[\"'`]?)"
+_GUARDED = (
+    (("://",), r"://[^\s/:@\"'`]{0,40}:[^\s/@\"'`]{3,}@"),
+    (("?", "&"), r"[?&][\w-]{0,20}=[^\s&\"'`]{8}"),
+    (("-pass", "-token", "-secret", "-api"), r"--?(?:pass|token|secret|api)"),
+    ((" -u ",), r"\s-u\s"),
+    (("oken ",), r"[Tt]oken [A-Za-z0-9+/]{12}"),
+    (("ogin(", "og_in(", "ogIn(", "ign", "uthenticate(", "onnect(", "redential"), r"(?:[Ll]og_?[Ii]n|[Ss]ign_?[Ii]n|[Aa]uthenticate|[Cc]onnect|[Cc]redentials?)\("),
 )
 
 
+def has_cue(text: Column) -> Column:
+    """Whether a text could hold a credential at all."""
+    cue = F.lit(False)
+    for w in _CUE_WORDS:
+        cue = cue | text.contains(w)
+    for words, pattern in _GUARDED:
+        guard = F.lit(False)
+        for w in words:
+            guard = guard | text.contains(w)
+        cue = cue | (guard & text.rlike(pattern))
+    return cue | text.rlike(_NAMED)
+
+
 def is_secret_name(name: str) -> bool:
     """Whether a name's last parts say that its value is a credential: db_password, apiKey; not token_limit."""
     parts = [p.lower() for p in _PARTS.findall(name)]
@@ -196,7 +218,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _texts(symbols: DataFrame, key: str, file: str, text: str) -> DataFrame:
-    return symbols.select(F.col(key).alias("key"), F.col(file).alias("file"), F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("text")).filter(
+    return symbols.select(F.col(key).alias("key"), F.col(file).alias("file"), F.when(F.col(text).contains("\r"), F.regexp_replace(F.col(text), r"\r\n?", "\n")).otherwise(F.col(text)).alias("text")).filter(
         F.col("key").isNotNull() & (F.length("text") > 0)
     )
 
@@ -216,7 +238,7 @@ def confirmed_literals(symbols: DataFrame, files: DataFrame, key: str = "symbol_
                        path: str = "path", owner: str = "project", version: str = "last_parsed", shared_by: int = SHARED_BY) -> tuple[DataFrame, DataFrame]:
     """The candidate literals outside samples (key, file, line, value, how) and the confirmed values among them (value)."""
     kinds = _schema(symbols, key, file)
-    cued = _texts(symbols, key, file, text).filter(F.col("text").rlike(CUES))
+    cued = _texts(symbols, key, file, text).filter(has_cue(F.col("text")))
     found = cued.mapInPandas(_extract, f"key {kinds[0]}, file {kinds[1]}, line long, value string, how string").distinct()
     placed = found.join(_paths(files, file, path, owner, version), "file", "left").filter(~F.coalesce("sample", F.lit(False)))
     placed = placed.filter((F.col("how") != "bare") | F.coalesce("config", F.lit(False)))

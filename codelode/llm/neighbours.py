@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Vectors of a model and size that the centres are fitted on at most.
 SAMPLE = 20_000
 #: Vectors a cell should hold, the most centres of one model, and the most vectors of one graph.
@@ -31,6 +33,8 @@ PROBES, PROBE_MARGIN = 3, 0.12
 DEGREE, BUILD_WIDTH, ALPHA = 14, 24, 1.2
 #: Beam of the final search and the entry points it starts from.
 BEAM, ENTRIES = 32, 24
+#: Tasks over which the ids of one class of copies are spread.
+SALTS = 32
 #: Cosines that agree to so many digits, the accuracy of single precision, are ties.
 DIGITS = 7
 SEED = 20250101
@@ -322,33 +326,34 @@ def nearest(df: DataFrame, k: int = 5, key: str = "symbol_id", model: str = "mod
     sizes = {(r["model"], r["dim"]): r["n"] for r in good.groupBy("model", "dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return spark.createDataFrame([], f"id {kind}, model string, dim int, other {kind}, cosine double, rank int")
-    # Exact copies are one class, represented by its smallest id: a group of very many copies is one row from here on.
+    # Exact copies are one class, represented by its smallest id: a group of very many copies is one row of the graphs.
+    # Copies are found by two hashes of the vector, so only ids and hashes are shuffled; usually there are few.
     group = ["model", "dim"]
-    copy_key = [F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2")]
-    classes = good.groupBy(*group, "vector").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    found = _class_pairs(classes.select("id", *group, "vector"), good, sizes, kind, k)
+    hashed = good.select("id", *group, F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
+    several = hashed.groupBy(*group, "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep <> last").drop("last")
+    members = cut_lineage(hashed.join(several, [*group, "h1", "h2"]).select("rep", *group, "id").distinct())
+    reps = good.join(members.filter("id <> rep").select("id", *group), ["id", *group], "left_anti")
+    found = _class_pairs(reps.select("id", *group, "vector"), good, sizes, kind, k)
     if min_cosine is not None:
         found = found.filter(F.col("cosine") >= min_cosine)
     pairs = found.groupBy("id", *group, "other").agg(F.least(F.lit(1.0), F.max(F.round("cosine", DIGITS))).alias("cosine"))
     best = Window.partitionBy("id", *group).orderBy(F.desc("cosine"), "other")
     near = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    # Classes of several ids, and the k + 1 smallest of each: more can't be in anyone's top k.
-    several = classes.filter("id <> last").select("id", *group, *copy_key).withColumnRenamed("id", "rep")
-    members = good.select("id", *group, *copy_key).join(several, [*group, "h1", "h2"]).select("rep", *group, "id").distinct()
-    smallest = members.withColumn("r", F.row_number().over(Window.partitionBy("rep", *group).orderBy("id"))).filter(F.col("r") <= k + 1).drop("r")
+    # The k + 1 smallest ids of each class: more can't be in anyone's top k.
+    first = Window.partitionBy("rep", *group).orderBy("id")
+    smallest = members.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).drop("r")
     others = smallest.select(F.col("rep").alias("other"), *group, F.col("id").alias("copy"))
     spread = near.join(others, ["other", *group], "left").select("id", *group, F.coalesce("copy", "other").alias("other"), "cosine")
     own = smallest.select(F.col("rep").alias("id"), *group, F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
-    if min_cosine is not None and min_cosine > 1:
-        own = own.limit(0)
-    # A class's list is short: k neighbours of k + 1 copies at most, and its own.
+    # A class's list is short: k neighbours of k + 1 copies at most, and its own. Each of its ids takes it without itself.
     entries = F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "other")))
     lists = spread.unionByName(own).groupBy("id", *group).agg(entries.alias("near"))
-    # An inner join, so that a class of very many ids may be split over tasks.
-    shared = lists.join(members.select(F.col("rep").alias("id"), *group, F.col("id").alias("member")), ["id", *group]).select(F.col("member").alias("id"), *group, "near")
-    alone = lists.join(several.select(F.col("rep").alias("id"), *group), ["id", *group], "left_anti").select("id", *group, "near")
-    mine = alone.unionByName(shared)
+    # A class of very many ids is spread over salts.
+    classes = members.filter("id = rep").select("id", *group, F.lit(True).alias("shared"))
+    salted = lists.join(classes, ["id", *group], "left").withColumn("salt", F.explode(F.when(F.col("shared"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    owners = members.select(F.col("rep").alias("id"), *group, F.col("id").alias("member"), F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt"))
+    mine = salted.join(owners, ["id", *group, "salt"], "left").filter("shared IS NULL OR member IS NOT NULL").select(F.coalesce("member", "id").alias("id"), *group, "near")
     mine = mine.select("id", *group, F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k).alias("near"))
     flat = mine.select("id", *group, F.posexplode("near").alias("at", "x"))
     return flat.select("id", *group, "x.other", (-F.col("x.c")).alias("cosine"), (F.col("at") + 1).alias("rank"))

@@ -58,7 +58,7 @@ def item_fields(items: DataFrame, key: str, fields: tuple[str, ...]) -> DataFram
 
 
 def _passage(doc: list[str], item: list[str], own: set[int]) -> int:
-    """The most equal words of a passage of ``item`` in ``doc`` that has something of its own; 0 if there is none.
+    """The running words of the longest passage of ``item`` in ``doc`` that has something of its own, replaced words included; 0 if there is none.
 
     ``own``: positions of the item at which an n-gram begins that no other item has.
     """
@@ -73,14 +73,15 @@ def _passage(doc: list[str], item: list[str], own: set[int]) -> int:
     for p, q in seeds:
         if (p, q) in done:
             continue
-        matched, length = OWN_GRAM, OWN_GRAM
+        matched, length, running = OWN_GRAM, OWN_GRAM, OWN_GRAM
         done.add((p, q))
         for step in (1, -1):
             i, j = (p + OWN_GRAM, q + OWN_GRAM) if step == 1 else (p - 1, q - 1)
-            pending = 0
+            pending, replaced = 0, 0
             while 0 <= i < len(doc) and 0 <= j < len(item):
                 if doc[i] == item[j]:
-                    matched, length, pending = matched + 1, length + pending + 1, 0
+                    matched, length, running = matched + 1, length + pending + 1, running + replaced + 1
+                    pending = replaced = 0
                     if step == 1:
                         done.add((i - OWN_GRAM + 1, j - OWN_GRAM + 1))
                     i, j = i + step, j + step
@@ -93,13 +94,13 @@ def _passage(doc: list[str], item: list[str], own: set[int]) -> int:
                     if 0 <= x < len(doc) and 0 <= y < len(item) and doc[x] == item[y] and (
                         not (0 <= x2 < len(doc) and 0 <= y2 < len(item)) or doc[x2] == item[y2]
                     ):
-                        jump = (x, y, max(a, b))
+                        jump = (x, y, max(a, b), min(a, b))
                         break
                 if jump is None or pending + jump[2] > MAX_GAP + 1:
                     break
-                i, j, pending = jump[0], jump[1], pending + jump[2]
+                i, j, pending, replaced = jump[0], jump[1], pending + jump[2], replaced + jump[3]
         if matched >= MIN_SHARE * length:
-            best = max(best, matched)
+            best = max(best, running)
     return best
 
 
@@ -107,7 +108,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", tex
                  fields: tuple[str, ...] = ("prompt", "answer"), min_words: int = 14) -> DataFrame:
     """(doc_key, item_key, n_words): documents that hold at least ``min_words`` running words of an item.
 
-    Letter case, punctuation, spacing, line marks, markup and a few replaced words don't matter.
+    Letter case, punctuation, spacing, line marks, markup and a few replaced words don't matter: a replaced word counts
+    as one of the running words, an inserted one doesn't.
     A passage counts for an item only if it contains five words in a row that no other item has.
     Null and empty texts, items without words, and empty tables give no row; repeated rows of a
     document or an item count once; a document that leaks an item in several places gives one row.

@@ -403,6 +403,16 @@ def test_leakage(spark):
     assert leakage.leaked_items(df.limit(0), items).count() == 0 and leakage.leaked_items(df, items.limit(0)).count() == 0
 
 
+def replaced(n, gone):
+    return "Before it. " + " ".join("x" if at in gone else w for at, w in enumerate(WORDS[:n])) + " y z"
+
+
+@pytest.mark.parametrize(("n", "gone"), [(14, {6}), (15, {6, 9}), (16, {6, 9, 12}), (13, {6}), (13, ())])
+def test_replaced_words_are_running_words(n, gone):
+    item = PROMPT.lower().split()
+    assert leakage._passage(replaced(n, gone).lower().split(), item, set(range(len(item) - leakage.OWN_GRAM + 1))) == n
+
+
 # Stuffed pages ----------------------------------------------------------------------------------
 
 PROSE = "The watcher reads each handler once and writes a result back. We measured the time of the scan, and it was lower than before. Nobody noticed the change for some days because the log was full of warnings."

@@ -1,5 +1,6 @@
 """The subpackage's operators on small fixtures: defined results for nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
 
+import itertools
 import math
 import os
 import random
@@ -410,7 +411,17 @@ def replaced(n, gone):
 @pytest.mark.parametrize(("n", "gone"), [(14, {6}), (15, {6, 9}), (16, {6, 9, 12}), (13, {6}), (13, ())])
 def test_replaced_words_are_running_words(n, gone):
     item = PROMPT.lower().split()
-    assert leakage._passage(replaced(n, gone).lower().split(), item, set(range(len(item) - leakage.OWN_GRAM + 1))) == n
+    assert leakage._passage(replaced(n, gone).lower().split(), item, set(range(len(item) * len(leakage.SHAPES)))) == n
+
+
+def test_replaced_words_anywhere(spark):
+    items = spark.createDataFrame([(1, PROMPT, None), (2, PROMPT.replace("quarry", "harbour"), None)], "item_id long, prompt string, answer string")
+    # Every inner place of the replaced word, and of the two; the quarry (word 4) stays, as only it tells the items apart.
+    gone = [(13 + n, g) for n in (1, 2) for g in itertools.combinations(range(1, 12 + n), n) if 4 not in g]
+    gone = [(n, g) for n, g in gone if len(g) == 1 or g[0] > 7 or g[1] < 3]
+    docs = [(i, replaced(n, g)) for i, (n, g) in enumerate(gone)]
+    got = rows(leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), items), "doc_id", "item_id")
+    assert got == [(i, 1) for i, _ in enumerate(docs)]
 
 
 # Stuffed pages ----------------------------------------------------------------------------------

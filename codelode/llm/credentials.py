@@ -80,30 +80,34 @@ _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----(?=
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
-# Cues: a text without any of them can't hold a literal that the extraction accepts. Plain words are searched as
-# bytes; a pattern runs only on texts that hold its word. The name's pattern is anchored at the sign after the name.
+# Cues: a text without any of them can't hold a literal that the extraction accepts. They are wider than the extraction's
+# patterns, never narrower: Java's classes are ASCII's, so negated ones hold more than Python's, and blanks are spelt out.
 _CUE_WORDS = (
-    "AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "k_live_", "xox", "AIza", "eyJ", "npm_", "SG.", "ya29.", "dckr_pat_", "pypi-", "PRIVATE KEY", "earer ", "asic ",
+    "AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_", "glpat-", "k_live_", "xox", "AIza", "eyJ", "npm_", "SG.", "ya29.", "dckr_pat_", "pypi-", "PRIVATE KEY",
 )
-_NAMES = "[Pp]ass|PASS|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]uth|AUTH|[Kk]ey|KEY|[Cc]redential|CREDENTIAL"
-_NAMED = rf"[:=]\s{{0,4}}[\"'`]?(?=[^\s\"'`(]{{6}})(?<=(?:{_NAMES})\w{{0,12}}[\"']?\]?\s{{0,4}}[:=]{{1,2}}>?\s{{0,4}}[\"'`]?)"
+_WS = r"[\s\p{Z}\x1c-\x1f\x85]"
+# Of the parts that is_secret_name knows, each holds one of these in one of three spellings.
+_STEMS = "(?:" + "|".join(f"{w}|{w.capitalize()}|{w.upper()}" for w in ("pass", "pwd", "secret", "token", "auth", "key", "credential")) + ")"
+_NAMED = (
+    rf"(?d)(?m){_STEMS}[^\s\"'`:=\]]*(?:=[^\s;&,()\[\]{{}}<>\"'`]{{6}}"
+    rf"|[\"']?\]?{_WS}*(?::{_WS}*[A-Za-z][^\n:=\"'`]*)?(?::=|=>|[:=])(?:{_WS}*[\"'`]|{_WS}*[^\s\"'`,;(){{}}<>]{{6,}}(?={_WS}*(?:#.*)?$)))"
+)
 _GUARDED = (
-    (("://",), r"://[^\s/:@\"'`]{0,40}:[^\s/@\"'`]{3,}@"),
-    (("?", "&"), r"[?&][\w-]{0,20}=[^\s&\"'`]{8}"),
-    (("-pass", "-token", "-secret", "-api"), r"--?(?:pass|token|secret|api)"),
-    ((" -u ",), r"\s-u\s"),
-    (("oken ",), r"[Tt]oken [A-Za-z0-9+/]{12}"),
-    (("ogin(", "og_in(", "ogIn(", "ign", "uthenticate(", "onnect(", "redential"), r"(?:[Ll]og_?[Ii]n|[Ss]ign_?[Ii]n|[Aa]uthenticate|[Cc]onnect|[Cc]redentials?)\("),
+    (("://",), r"://[^\s/:@\"'`<>]*:[^\s/@\"'`<>]{3,}@"),
+    (("?", "&"), r"(?iu)[?&][^\s=]*(?:key|token|secret|passw(?:or)?d|sig(?:nature)?)=[^\s&\"'`#<>]{8}"),
+    (("-",), rf"(?iu)-(?:(?:password|passwd|pass|token|secret|api-?key|auth)[ =]|u{_WS}+[^\s:]+:)[^\s\"'`]{{6}}"),
+    ((), rf"(?iu)(?:bearer|basic|token){_WS}+[A-Za-z0-9+/_.~=-]{{16}}"),
+    (("(",), rf"(?iu)(?:log_?in|sign_?in|authenticate|connect|credentials?|auth){_WS}*\({_WS}*([\"'])[^\"'\n]*\1{_WS}*,{_WS}*[\"'][^\"'\n]{{6}}"),
 )
 
 
 def has_cue(text: Column) -> Column:
-    """Whether a text could hold a credential at all."""
+    """Whether a text could hold a credential at all: true wherever ``candidates`` finds one."""
     cue = F.lit(False)
     for w in _CUE_WORDS:
         cue = cue | text.contains(w)
     for words, pattern in _GUARDED:
-        guard = F.lit(False)
+        guard = F.lit(not words)
         for w in words:
             guard = guard | text.contains(w)
         cue = cue | (guard & text.rlike(pattern))

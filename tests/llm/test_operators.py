@@ -313,6 +313,20 @@ def test_unpublished_formats_are_learned(spark):
     assert got == [(0, 1), (1, 1), (2, 1), (10, 2)]
 
 
+def test_texts_with_candidates_have_a_cue(spark):
+    v = "kY6JnaYZkat9"
+    texts = [
+        f'password: str = "{v}"', f'def f(db_token: Optional[str] = "{v}"):', f'api_key         = "{v}"', f'password:           "{v}"', f'password =\n            "{v}"', f"auth_token:\u00a0\u00a0{v}", f'apiKey2 := "{v}"', f'secret_______________ = "{v}"',
+        f'c.basicAuth("svc", "{v}")', f'x.with_auth("svc", "{v}")', f'connect ("svc", "{v}")', f'LOGIN(\n  "svc",\n  "{v}")', f'set_credentials("svc", "{v}")', f"run --auth {v}", f"run -PASSWORD={v}", f"curl\t-u svc:{v}", f"BEARER {v}{v}", f"Basic\t{v}{v}", f"Token {v}-{v}",
+        f"/a?a_rather_long_name_of_the_access_key={v}", f"ftp://{'u' * 60}:{v}@host.example", f'"Server=db;Password={v};"', f"['password'] = '{v}'", f"{{'session_secret' => '{v}'}}", f'password: Map<str, [int]> = `{v}`',
+    ]
+    assert all(credentials.candidates(t) for t in texts), [t for t in texts if not credentials.candidates(t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [texts[r.i] for r in df.filter(~credentials.has_cue(F.col("text"))).collect()] == []
+    plain = spark.createDataFrame([("def load(path):\n    return path\n",), ("the key of the map",), ("for token in tokens: use(token)",)], "text string")
+    assert plain.filter(credentials.has_cue(F.col("text"))).count() == 0
+
+
 def test_redaction(spark):
     symbols = [(1, 1, 'a = 1\npassword = "kY6JnaYZkat9"  # note\n', "k", 1, "v"), (2, 1, None, "k", 1, "v"), (3, 1, "nothing", "k", 1, "v"), (4, 2, 'password = "kY6JnaYZkat9"', "k", 1, "v"), (5, 1, 'k = "a5122b53afdff174x" + y', "k", 1, "v")]
     files = [(1, "p", "a.py", 1.0, "o"), (2, "p", "samples/a.py", 1.0, "o")]

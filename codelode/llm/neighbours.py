@@ -37,6 +37,8 @@ BEAM, ENTRIES = 32, 24
 SALTS = 32
 #: Cosines that agree to so many digits, the accuracy of single precision, are ties.
 DIGITS = 7
+#: Unit vectors that agree to so many digits are copies: coarser than the rounding of single precision, so lengths don't matter.
+UNIT_DIGITS = 6
 SEED = 20250101
 
 
@@ -56,6 +58,19 @@ def _normalised(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _hash_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow stage: each vector's two hashes of its rounded direction."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        sizes = np.asarray(t["dim"])
+        for dim in np.unique(sizes).tolist():
+            part = t.take(pa.array(np.flatnonzero(sizes == dim)))
+            whole = np.rint(_normalised(part["vector"], dim) * 10.0**UNIT_DIGITS).astype(np.int64)
+            factors = np.random.default_rng(SEED).integers(-(1 << 62), 1 << 62, (dim, 2)) * 2 + 1
+            h = (whole @ factors[:, :1]).ravel(), (whole @ factors[:, 1:]).ravel()
+            yield pa.RecordBatch.from_arrays([part["id"].combine_chunks(), part["model"].combine_chunks(), part["dim"].combine_chunks(), pa.array(h[0]), pa.array(h[1])], names=["id", "model", "dim", "h1", "h2"])
+
+
 def fit_centres(x: np.ndarray, n: int, rounds: int = 6, seed: int = SEED) -> np.ndarray:
     """``n`` unit vectors by spherical k-means, empty clusters refilled at random."""
     rng = np.random.default_rng(seed)
@@ -291,10 +306,22 @@ def _cell_search(k: int):
             want = min(len(unique), k + 1)
             for lo in range(0, len(asking), 2048):
                 rows = asking[lo : lo + 2048]
-                found, _ = graph.search(np.ascontiguousarray(x[rows]), max(BEAM, want), want)
-                exact = np.einsum("id,ijd->ij", x[rows].astype(np.float64), unique[np.maximum(found, 0)].astype(np.float64))
-                # Units are kept in single precision: their true lengths undo its rounding.
-                exact /= lengths[rows, None] * unique_lengths[np.maximum(found, 0)]
+                beam = max(BEAM, want)
+                found, sims = graph.search(np.ascontiguousarray(x[rows]), beam, beam)
+                # All of the beam that single precision may have put in the wrong order is computed again.
+                at, col = np.nonzero((found >= 0) & (sims >= sims[:, want - 1 : want] - 1e-5))
+                node = found[at, col]
+                again = np.full(found.shape, -np.inf)
+                for part in range(0, len(at), 16_384):
+                    one, n = rows[at[part : part + 16_384]], node[part : part + 16_384]
+                    dots = np.einsum("ij,ij->i", x[one].astype(np.float64), unique[n].astype(np.float64))
+                    # Units are kept in single precision: their true lengths undo its rounding.
+                    again[at[part : part + 16_384], col[part : part + 16_384]] = dots / (lengths[one] * unique_lengths[n])
+                # Ties go to the node with the smallest id.
+                smallest = ids[stored[by[starts[np.maximum(found, 0)]]]]
+                top = np.lexsort((smallest, -np.round(again, DIGITS)), axis=1)[:, :want]
+                exact, found = np.take_along_axis(again, top, 1), np.take_along_axis(found, top, 1)
+                found = np.where(np.isfinite(exact), found, -1)
                 for r in range(k + 1):
                     # The r-th copy of each node.
                     has = (found >= 0) & (counts[np.maximum(found, 0)] > r)
@@ -326,10 +353,11 @@ def nearest(df: DataFrame, k: int = 5, key: str = "symbol_id", model: str = "mod
     sizes = {(r["model"], r["dim"]): r["n"] for r in good.groupBy("model", "dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return spark.createDataFrame([], f"id {kind}, model string, dim int, other {kind}, cosine double, rank int")
-    # Exact copies are one class, represented by its smallest id: a group of very many copies is one row of the graphs.
-    # Copies are found by two hashes of the vector, so only ids and hashes are shuffled; usually there are few.
+    # Copies, whatever their lengths, are one class, represented by its smallest id: a group of very many copies is one row of the graphs.
+    # They are found by two hashes of the rounded unit vector, so only ids and hashes are shuffled; usually there are few.
+    # A direction at the edge of a rounding gives a few classes, whose cosines tie.
     group = ["model", "dim"]
-    hashed = good.select("id", *group, F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"))
+    hashed = cut_lineage(good.mapInArrow(_hash_units, f"id {kind}, model string, dim int, h1 long, h2 long"))
     several = hashed.groupBy(*group, "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep <> last").drop("last")
     members = cut_lineage(hashed.join(several, [*group, "h1", "h2"]).select("rep", *group, "id").distinct())
     reps = good.join(members.filter("id <> rep").select("id", *group), ["id", *group], "left_anti")
@@ -360,7 +388,7 @@ def nearest(df: DataFrame, k: int = 5, key: str = "symbol_id", model: str = "mod
 
 
 def _class_pairs(reps: DataFrame, good: DataFrame, sizes: dict[tuple[str, int], int], kind: str, k: int) -> DataFrame:
-    """(id, model, dim, other, cosine): what the cells' graphs find among vectors of which no two are equal."""
+    """(id, model, dim, other, cosine): what the cells' graphs find among vectors of which no two are copies."""
     # Each model's bounded sample, drawn by the hash of the id: at most about SAMPLE rows of each come to the driver.
     share = F.create_map(*[x for (m, d), n in sizes.items() for x in (F.lit(f"{m}\x00{d}"), F.lit(min(1.0, SAMPLE / n)))])
     draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003.0

@@ -256,6 +256,23 @@ def test_a_third_of_equal_vectors(spark):
     assert set(map(tuple, neighbours.similar_pairs(df).collect())) == brute_pairs(vectors, 5, 0.85)
 
 
+def test_copies_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.normal(size=16).astype(np.float32) for i in range(200)}
+    hot = rng.normal(size=16).astype(np.float32)
+    ids = [int(i) for i in rng.permutation(np.arange(200, 800))]
+    vectors |= {i: hot * np.float32(rng.uniform(0.1, 9)) for i in ids} | {800: (hot + 0.05 * rng.normal(size=16)).astype(np.float32)}
+    df = spark.createDataFrame([(i, "m", 16, [float(x) for x in v], 0) for i, v in vectors.items()], VECTORS)
+    near = {}
+    for r in neighbours.nearest(df).collect():
+        near.setdefault(r.id, {})[r.rank] = (r.other, r.cosine)
+    for i in ids:
+        first = [j for j in range(200, 206) if j != i][:5]
+        assert near[i] == {n + 1: (j, 1.0) for n, j in enumerate(first)}
+    # The copies' cosines with another vector differ only by the rounding of single precision.
+    assert [near[800][n][0] for n in range(1, 6)] == list(range(200, 205))
+
+
 def test_hot_cell_is_split(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "MAX_CELL", 40)
     monkeypatch.setattr(neighbours, "CELL", 10_000)

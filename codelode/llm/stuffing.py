@@ -45,7 +45,8 @@ MIN_FUNCTION_SHARE, MIN_WORDS = 0.2, 4
 INCOHERENT = 0.36
 #: A pair is repeated if the page has it this often; share of repeated pairs that makes a line stuffed.
 REPEATS, STUFFED_SHARE = 4, 0.2
-#: A line of so many words, of which no more (and no greater share) are different, is stuffed even between function words.
+#: A line of so many words, of which no greater share are different, can be stuffed even between function words: with up to
+#: ``RUN_VOCABULARY`` different words by one keyword, with more by a phrase.
 RUN_WORDS, RUN_VOCABULARY, RUN_DIFFERENT, RUN_REPEATED = 10, 20, 0.75, 0.5
 #: Such a line needs a content word with at least this share of its words, and fewer function words than this share.
 RUN_KEYWORD, RUN_FUNCTION_SHARE = 0.15, 0.5
@@ -82,15 +83,26 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def of_words(w: Column) -> Column:
         different = F.array_distinct(w)
-        content = F.filter(different, lambda x: ~x.isin([*functions, "0"]))
-        # How often the most frequent content word occurs; only asked of lines with a small vocabulary.
-        most = F.array_max(F.transform(content, lambda x: F.size(F.filter(w, lambda y: y == x))))
+        known = F.size(F.filter(w, lambda x: x.isin(functions)))
+        # How often the two most frequent content words occur: the longest runs of the sorted words; only asked of lines that can be dense.
+        content = F.array_sort(F.filter(w, lambda x: ~x.isin([*functions, "0"])))
+
+        def step(acc: Column, x: Column) -> Column:
+            run = F.when(x == acc["last"], acc["run"] + 1).otherwise(1)
+            other = x != acc["top"]
+            second = F.when(other & (run > acc["best"]), acc["best"]).when(other, F.greatest(acc["second"], run)).otherwise(acc["second"])
+            top = F.when(run > acc["best"], x).otherwise(acc["top"])
+            return F.struct(x.alias("last"), run.alias("run"), top.alias("top"), F.greatest(acc["best"], run).alias("best"), second.alias("second"))
+
+        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit("").alias("top"), F.lit(0).alias("best"), F.lit(0).alias("second"))
+        most = F.aggregate(content, start, step, lambda acc: F.struct(acc["best"].alias("best"), acc["second"].alias("second")))
+        can_be_dense = (F.size(w) >= RUN_WORDS) & (F.size(different) <= RUN_DIFFERENT * F.size(w)) & (known < RUN_FUNCTION_SHARE * F.size(w))
         return F.struct(
             w.alias("words"),
             F.size(w).alias("n"),
-            F.size(F.filter(w, lambda x: x.isin(functions))).alias("known"),
+            known.alias("known"),
             F.size(different).alias("different"),
-            F.when(F.size(different) <= RUN_VOCABULARY, most).alias("most"),
+            F.when(can_be_dense, most).alias("most"),
         )
 
     facts = let(_line_words(F.col("line")), of_words)
@@ -115,7 +127,9 @@ def line_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     )
     # Keywords come in every clause; a word of repeated sentences comes once in each of them.
     n = F.col("w.n")
-    dense = (n >= RUN_WORDS) & (F.col("w.different") <= RUN_DIFFERENT * n) & (F.col("w.most") >= RUN_KEYWORD * n) & (F.col("w.known") < RUN_FUNCTION_SHARE * n)
+    # With more different words, a list of sentences about one thing looks alike, so the keyword must be a phrase of two words.
+    keyword = F.when(F.col("w.different") <= RUN_VOCABULARY, F.col("w.most.best")).otherwise(F.col("w.most.second"))
+    dense = (n >= RUN_WORDS) & (F.col("w.different") <= RUN_DIFFERENT * n) & (keyword >= RUN_KEYWORD * n) & (F.col("w.known") < RUN_FUNCTION_SHARE * n)
     # Or a long line turns round very few words.
     round_and_round = (n >= 4 * RUN_WORDS) & (F.col("w.different") <= F.least(F.lit(RUN_VOCABULARY), RUN_FEW * n))
     run = dense | round_and_round

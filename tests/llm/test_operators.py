@@ -473,3 +473,15 @@ def test_stuffed_pages(spark):
     df = spark.createDataFrame(data, "doc_id long, text string, line string")
     assert rows(stuffing.stuffed_pages(df), "doc_id") == [(i,) for i, (_, bad) in enumerate(PAGES) if bad]
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
+
+
+def found_pages(spark, pages):
+    data = [(i, t) for i, t in enumerate(pages)] + [(1000 + i, PROSE) for i in range(40)]
+    return [r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame(data, "doc_id long, text string")).orderBy("doc_id").collect()]
+
+
+def test_stuffed_lines_of_many_words(spark):
+    places = "london paris berlin madrid rome vienna prague lisbon dublin oslo athens warsaw zurich geneva milan porto".split()
+    phrases = " ".join(f"the cheap keys and the best cheap keys for {p}." for p in places)
+    sentences = " ".join(f"The session may {v} the {o} before the session store sees the session again." for v, o in zip(places, reversed(places)))
+    assert found_pages(spark, [phrases * 4, PROSE * 40, sentences * 4]) == [0]

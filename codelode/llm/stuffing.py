@@ -62,6 +62,7 @@ _TABLE = r"^\|.*\|\s*$"
 _BARE_LINK = r"(?i)^\W*(?:(?:https?://|www\.)\S+\W*)+$"
 _LINK_LABELS = r"(?i)^\W*(?:\d+[.)]\s*)?(?:\[[^\]\n]{0,80}\]\([^)\n]*\)[\s|,;·•»*-]*|<a\s[^<>]*>[^<]{0,80}</a>[\s|,;·•»*-]*)+$"
 _HASHTAGS = r"^\W*(?:#[\p{L}\p{N}_]+[\s,;]*){3,}$"
+_LABEL, _HASHTAG = r"(?i)\]\(|<a\s", r"#[\p{L}\p{N}_]+"
 _HOST = r"(?i)\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|example|info|biz|shop|site|online|dev|co|de|fr|es)\b"
 _CODE_LINE = r"^[\t ]*(?:[{}()\[\];]+|.*[;{}]|(?:def|class|func|fn|let|const|var|return|import|from|public|private|if|for|while)\b.*[:;{(].*|[#/*]{1,3}\s?.*|@\w+.*)\s*$"
 
@@ -114,7 +115,7 @@ def _pairs(words: Column) -> Column:
 
 
 def line_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, at, chars, spam): each line of each page with whether it is spam; lines of prose, code, logs and tables are not."""
+    """(key, at, chars, n_words, n_links, spam): each line of each page with whether it is spam; lines of prose, code, logs and tables are not."""
     # Written once, read by the counts and by the lines that are judged: splitting texts is the dear part.
     lines = cut_lineage(_lines(docs, key, text))
     shape = (
@@ -133,7 +134,9 @@ def line_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     # Or a long line turns round very few words.
     round_and_round = (n >= 4 * RUN_WORDS) & (F.col("w.different") <= F.least(F.lit(RUN_VOCABULARY), RUN_FEW * n))
     run = dense | round_and_round
-    kinds = lines.select(key, "__all", "at", "chars", F.col("w.words").alias("words"), shape.alias("shape"), run.alias("run"))
+    n_links = F.when(F.col("shape") == "link", F.greatest(*[F.regexp_count("line", F.lit(p)) for p in (_URL, _HOST, _LABEL, _HASHTAG)])).otherwise(0)
+    kinds = lines.select(key, "__all", "at", "chars", "line", F.col("w.words").alias("words"), shape.alias("shape"), run.alias("run"))
+    kinds = kinds.select(key, "__all", "at", "chars", "words", F.size("words").alias("n_words"), n_links.alias("n_links"), "shape", "run")
 
     # Corpus counts: every line of every page.
     words = lines.select(F.explode("w.words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
@@ -165,7 +168,7 @@ def line_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     judged = kinds.drop("words").join(scores, [key, "at"], "left")
     loose = (F.col("shape") == "loose") & (F.col("coherence").isNull() | (F.col("coherence") < INCOHERENT) | (F.col("repeated") >= STUFFED_SHARE))
     stuffed = (F.col("shape") == "prose") & F.col("run") & (F.col("repeated") >= RUN_REPEATED)
-    return judged.select(key, "__all", "at", "chars", "shape", "coherence", "repeated", ((F.col("shape") == "link") | loose | F.coalesce(stuffed, F.lit(False))).alias("spam"))
+    return judged.select(key, "__all", "at", "chars", "n_words", "n_links", "shape", "coherence", "repeated", ((F.col("shape") == "link") | loose | F.coalesce(stuffed, F.lit(False))).alias("spam"))
 
 
 def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.5) -> DataFrame:
@@ -173,15 +176,18 @@ def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
 
     Null, empty and blank texts, and empty tables, give no row; a repeated row counts once. The share
     is of all characters outside blanks at line ends, code included. A single heading is not enough:
-    a page needs at least 12 words or three links in its spam.
+    a page needs at least 12 words, three links or tags, or 80 characters in its spam.
     """
     scored = line_scores(docs, key, text)
     # Fenced code counts as text that is not spam: what the lines don't have of the page.
     page = scored.groupBy(key).agg(
         F.sum(F.when(F.col("spam"), F.col("chars")).otherwise(0)).alias("bad"),
+        F.sum(F.when(F.col("spam"), F.col("n_words")).otherwise(0)).alias("bad_words"),
+        F.sum(F.when(F.col("spam"), F.col("n_links")).otherwise(0)).alias("bad_links"),
         F.sum("chars").alias("seen"),
         F.max("__all").alias("whole"),
         F.max("at").alias("breaks"),
     )
     denominator = F.greatest(F.col("seen"), F.col("whole") - F.col("breaks") * 2)
-    return page.filter((F.col("bad") > share * denominator) & (F.col("bad") >= 80)).select(key, (F.col("bad") / denominator).alias("spam_share"))
+    enough = (F.col("bad") >= 80) | (F.col("bad_words") >= 12) | (F.col("bad_links") >= 3)
+    return page.filter((F.col("bad") > share * denominator) & enough).select(key, (F.col("bad") / denominator).alias("spam_share"))

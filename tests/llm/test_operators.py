@@ -485,3 +485,7 @@ def test_stuffed_lines_of_many_words(spark):
     phrases = " ".join(f"the cheap keys and the best cheap keys for {p}." for p in places)
     sentences = " ".join(f"The session may {v} the {o} before the session store sees the session again." for v, o in zip(places, reversed(places)))
     assert found_pages(spark, [phrases * 4, PROSE * 40, sentences * 4]) == [0]
+
+
+def test_short_pages_of_links_or_tags(spark):
+    assert found_pages(spark, ["https://a.example/x\nhttps://b.example/y\nhttps://c.example/z", "#CheapKeys #BestDeal #HireNow #Keys", "[keys](https://a.example)", "https://a.example/x", "Cheap keys"]) == [0, 1]

@@ -17,6 +17,7 @@ confirm nothing.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -365,6 +366,11 @@ def credential_lines(symbols: DataFrame, files: DataFrame, key: str = "symbol_id
     return direct.unionByName(outside).select(F.col("key").alias(key), "line").distinct()
 
 
+def _shortened(text: str) -> list[int]:
+    """Where the line ends of two characters stand once each of them is one."""
+    return [m.start() - i for i, m in enumerate(re.finditer("\r\n", text))]
+
+
 def _masking(block):
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
@@ -373,8 +379,10 @@ def _masking(block):
         def one(t: str | None) -> str | None:
             if t is None or automaton is None:
                 return t
-            for s, e in reversed(_spans(automaton, t)):
-                t = t[:s] + MASK + t[e:]
+            # Literals were learned with plain line ends: they are looked for so, and masked where they stand.
+            plain, shortened = (re.sub(r"\r\n?", "\n", t), _shortened(t)) if "\r" in t else (t, [])
+            for s, e in reversed(_spans(automaton, plain)):
+                t = t[: s + bisect_left(shortened, s)] + MASK + t[e + bisect_left(shortened, e) :]
             return t
 
         return texts.map(one)

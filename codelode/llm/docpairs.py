@@ -14,6 +14,7 @@ the only shuffle removes repeated symbols.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,18 +26,24 @@ MIN_NEW_WORDS = 2
 #: Blank lines that may lie between a comment and the signature it belongs to.
 MAX_DISTANCE = 1
 
-_SIGNATURE = re.compile(
-    r"""^[ \t]*(?:(?:export|default|public|private|protected|internal|static|final|abstract|override|async|pub(?:\([a-z]+\))?|unsafe|extern|inline|virtual|const|open|suspend|synchronized|native)\s+)*
-    (?:(?P<kw>def|fn|func|function\*?|fun)\s+(?:\((?P<recv>[^)]*)\)\s*)?(?P<name>[\w$.?!]+)\s*(?:<[^(]*>|\[[^(]*\])?\s*\((?P<args>[^{]*?)\)
-    |(?P<arrow>(?:const|let|var)\s+[\w$]+\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b\s*[\w$]*)?\s*\((?P<args2>[^)]*)\))
-    |(?:[\w<>\[\],.*&:?]+[\s*&]+)*(?P<name3>[\w$~]+)\s*\((?P<args3>[^;{}]*?)\)\s*(?:throws [\w., ]+)?(?::\s*[^{=;]+)?\{)""",
-    re.VERBOSE | re.MULTILINE,
-)
+# Words before a declaration.
+_MODIFIER = r"(?:(?:export|default|public|private|protected|internal|static|final|abstract|override|async|pub(?:\([a-z]+\))?|unsafe|extern|inline|virtual|const|open|suspend|synchronized|native)(?=\s))"
+_MODIFIERS = re.compile(rf"[ \t]*(?:{_MODIFIER}[ \t]+)*")
+_MODIFIER_LINE = re.compile(rf"[ \t]*(?:{_MODIFIER}\s+)+")
+# Where a signature can be: a keyword, a variable that may hold a function, or a bracket that may follow a name.
+_PLACE = re.compile(r"(?<![\w$])(?:(?P<kw>def|fn|func|function\*?|fun)|(?P<var>const|let|var))(?=\s)|\(")
+_KEYWORD_NAME = re.compile(r"\s+(?P<name>[\w$.?!]++)\s*+")
+_RECEIVER, _RECEIVED_NAME = re.compile(r"\s+\("), re.compile(r"\s*+(?P<name>[\w$.?!]++)\s*+")
+_VARIABLE = re.compile(r"\s+(?P<name>[\w$]++)\s*+")
+_VALUE = re.compile(r"\s*+(?:async\s*+)?(?:function\b\s*+[\w$]*+)?\s*+\(")
+# Characters that the type before a C-like function's name can't have, and marks that end its parameters' list.
+_NO_TYPE, _STOP = re.compile(r"[^\w<>\[\],.*&:?\s]"), re.compile(r"[;{}]")
+_CLOSER, _THROWS = re.compile(r"\)\s*+(?:(?P<throws>throws )|(?P<type>:)|\{)"), re.compile(r"throws [\w., ]++(?::[^{=;]++)?$")
 _NOT_NAMES = frozenset("if for while switch catch return else do try with match loop when until unless elif foreach".split())
 _LINE_COMMENT = re.compile(r"^[ \t]*(?:///?!?|#(?!\[)|--|\*)")
 _COMMENT_START, _COMMENT_END = re.compile(r"^[ \t]*/\*"), re.compile(r"\*/[ \t]*$")
 _DOCSTRING = re.compile(r"""^\s*[rRuUbB]{0,2}(\"\"\"|'''|\"|')(.*?)(?<!\\)\1""", re.DOTALL)
-_MARKS = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*|///?!?|#+!?|--+)?[ \t]?|[ \t]*(?:\*+/)[ \t]*$")
+_MARKS = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*|///?!?|#+!?|--+)?[ \t]?|(?<![ \t])[ \t]*+(?<!\*)\*++/[ \t]*+$")
 _QUOTES = re.compile(r"""^\s*[rRuU]?(?:\"\"\"|''')|(?:\"\"\"|''')\s*$""")
 
 # Lines that say nothing about the code.
@@ -59,7 +66,7 @@ _PLACEHOLDER = re.compile(
 _BARE_TAG = re.compile(r"(?i)^\s*[@\\](?:deprecated|internal|private|public|protected|override|final|static|hidden|ignore|api|async|virtual|abstract|readonly|beta|alpha|experimental|test|module|namespace|class|function|method|constructor|inheritdoc|returns?|throws?)\s*$")
 _TAG = re.compile(r"(?i)^\s*(?:[:@\\](?P<tag>param(?:eter)?|arg(?:ument)?|type|rtype|returns?|raises?|throws?|exception|yields?|keyword|var|ivar|template|tparam|property|prop|since|see)\b\s*)(?P<rest>.*)$")
 _SECTION = re.compile(r"(?i)^\s*(?:args|arguments|parameters|params|returns?|raises|yields|throws|attributes|examples?|notes?|keyword args|other parameters|see also|references|warns?)\s*:?\s*$")
-_ITEM = re.compile(r"^\s*[-*]?\s*[*`]*([A-Za-z_$][\w$]*)[*`]*\s*(?:\([^)]*\))?\s*(?::|--?|–)\s+(.*)$")
+_ITEM = re.compile(r"^\s*[-*]?\s*[*`]*([A-Za-z_$][\w$]*)[*`]*+\s*+(?:\([^)]*\)\s*+)?(?::|--?|–)\s+(.*)$")
 
 # Words that phrases about any function use.
 STOCK = frozenset(
@@ -91,14 +98,128 @@ def _parts(name: str) -> set[str]:
 _STOCK_STEMS = frozenset(stem(w) for w in STOCK)
 
 
+class _Text:
+    """A text with the places of its marks, found once, so that a search for signatures is linear in the text's length."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self._marks: dict[re.Pattern, list[int]] = {}
+
+    def marks(self, pattern: re.Pattern) -> list[int]:
+        """Where ``pattern`` begins, in order."""
+        if pattern not in self._marks:
+            self._marks[pattern] = [m.start() for m in pattern.finditer(self.text)]
+        return self._marks[pattern]
+
+    def begin(self, at: int) -> int | None:
+        """Where the declaration begins whose keyword stands at ``at``: modifiers may precede it, also on lines of their own; None if something else does."""
+        text, start = self.text, self.text.rfind("\n", 0, at) + 1
+        if not _MODIFIERS.fullmatch(text, start, at):
+            return None
+        while start:
+            line = text.rfind("\n", 0, start - 1) + 1
+            if not _MODIFIER_LINE.fullmatch(text, line, start):
+                break
+            start = line
+        return start
+
+    def after_keyword(self, at: int) -> tuple[str, str] | None:
+        """(name, parameters) behind a keyword that ends at ``at``."""
+        text = self.text
+        if m := _RECEIVER.match(text, at):
+            close = text.find(")", m.end())
+            at = close + 1
+            if close < 0:
+                return None
+        m = (_RECEIVED_NAME if m else _KEYWORD_NAME).match(text, at)
+        if not m:
+            return None
+        bracket = text.find("(", m.end())
+        if bracket < 0:
+            return None
+        opened = text[m.end()]
+        if bracket > m.end() and not (opened in "<[" and text[m.end() : bracket].rstrip().endswith(">" if opened == "<" else "]")):
+            return None
+        close = text.find(")", bracket)
+        if close < 0 or text.find("{", bracket, close) >= 0:
+            return None
+        return m["name"], text[bracket + 1 : close]
+
+    def after_variable(self, at: int) -> tuple[str, str] | None:
+        """(name, parameters) of a function that is assigned to the variable whose keyword ends at ``at``."""
+        text = self.text
+        m = _VARIABLE.match(text, at)
+        if not m or m.end() == len(text):
+            return None
+        equals = text.find("=", m.end() + 1) if text[m.end()] == ":" else m.end()
+        if equals < 0 or text[equals] != "=" or not (value := _VALUE.match(text, equals + 1)):
+            return None
+        close = text.find(")", value.end())
+        return (m["name"], text[value.end() : close]) if close >= 0 else None
+
+    def around_bracket(self, at: int) -> tuple[str, str, int] | None:
+        """(name, parameters, begin) of a C-like function whose list of parameters opens at ``at``."""
+        text = self.text
+        end = at
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_$~"):
+            start -= 1
+        if start == end or (start and not (text[start - 1].isspace() or text[start - 1] in "*&")):
+            return None
+        # Back to the last character that no type can have; the declaration begins on the next line that isn't blank.
+        marks = self.marks(_NO_TYPE)
+        i = bisect_left(marks, start)
+        begin = 0
+        if i:
+            begin = text.find("\n", marks[i - 1], start) + 1
+            if not begin:
+                return None
+        stops = self.marks(_STOP)
+        j = bisect_left(stops, at)
+        if j == len(stops) or text[stops[j]] != "{":
+            return None
+        closers = self.marks(_CLOSER)
+        equals = text.rfind("=", at, stops[j])
+        for n in range(bisect_left(closers, at), len(closers)):
+            close = closers[n]
+            if close > stops[j]:
+                return None
+            m = _CLOSER.match(text, close)
+            if m["throws"]:
+                good = bool(_THROWS.match(text, m.start("throws"), stops[j]))
+            elif m["type"]:
+                good = close > equals and m.end() < stops[j]
+                if not good and close < equals:
+                    continue
+            else:
+                good = m.end() == stops[j] + 1
+            if good:
+                return text[start:end], text[at + 1 : close], begin
+        return None
+
+
 def signature_of(text: str) -> tuple[str, str, int] | None:
-    """(name, parameters, line) of the first signature in ``text``; lines count from 0."""
-    for m in _SIGNATURE.finditer(text):
-        name = m["name"] or m["name3"] or (m["arrow"] or "").split("=")[0].replace("const", "").replace("let", "").replace("var", "").split(":")[0].strip()
-        if name in _NOT_NAMES:
+    """(name, parameters, line) of the first signature in ``text``; lines count from 0. The time is linear in the text's length, whatever it holds."""
+    t, done = _Text(text), 0
+    for m in _PLACE.finditer(text):
+        if m.start() < done:
+            continue
+        if m["kw"] or m["var"]:
+            begin = t.begin(m.start())
+            found = None if begin is None else (t.after_keyword if m["kw"] else t.after_variable)(m.end())
+        else:
+            found = t.around_bracket(m.start())
+            begin = found[2] if found else None
+        if not found:
+            continue
+        if found[0] in _NOT_NAMES:
+            done = m.end() + len(found[1])
             continue
-        args = m["args"] if m["args"] is not None else m["args2"] if m["args2"] is not None else m["args3"] or ""
-        return name, args, text.count("\n", 0, m.start() + len(m[0]) - len(m[0].lstrip()))
+        while text[begin].isspace():
+            begin += 1
+        return found[0], found[1], text.count("\n", 0, begin)
     return None
 
 

@@ -7,8 +7,10 @@
 3. Every text is scanned again for all confirmed literals with an Aho-Corasick automaton, whatever
    stands around them; so a password also comes out of a comment, a longer string or an address
    without a telling name. A form that several confirmed literals share is looked for likewise, so
-   tokens of unpublished formats are found too. Confirmed literals are broadcast in blocks of ``BLOCK`` entries, one scan
-   each, so the automaton's size is bounded however many there are.
+   tokens of unpublished formats are found too. Up to ``BLOCK`` literals of ``BLOCK_CHARS`` characters are one automaton,
+   broadcast. More than that are joined with the texts by their anchors (an unbroken run of letters and digits of the literal, which
+   every text that holds it also has), so that each text gets an automaton of the literals it may hold: still one scan of the
+   corpus, whose only broadcast is a bit set of fixed size that says which runs are anchors at all.
 
 Files whose path marks them as a sample, example, template or test fixture hold no findings and
 confirm nothing.
@@ -19,8 +21,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,10 @@ from ..session import cut_lineage
 
 #: Owners (e.g. projects) that share a literal before it counts as a placeholder.
 SHARED_BY = 5
-#: Confirmed literals in one automaton.
-BLOCK = 100_000
+#: Confirmed literals, and their characters, up to which one automaton of all of them is broadcast.
+BLOCK, BLOCK_CHARS = 100_000, 16_000_000
+#: Bits of the set that says which runs of letters and digits are anchors: 16 MB, whatever the number of literals.
+ANCHOR_BITS = 27
 #: Confirmed literals of one unpublished form from which the form counts as a token format.
 FORM_SUPPORT = 3
 MASK = "***"
@@ -127,7 +131,7 @@ def is_secret_name(name: str) -> bool:
 
 def is_irregular(value: str) -> bool:
     """Whether a literal under a secret's name looks like a real value and not like a word, a path or a reference."""
-    if not 8 <= len(value) <= 4096 or any(c.isspace() for c in value) or PLACEHOLDER.search(value) or len(set(value)) < 5:
+    if len(value) < 8 or any(c.isspace() for c in value) or PLACEHOLDER.search(value) or len(set(value)) < 5:
         return False
     letters, digits = sum(c.isalpha() for c in value), sum(c.isdigit() for c in value)
     if not letters:
@@ -324,43 +328,108 @@ def _spans(automaton, text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(spark, confirmed: DataFrame) -> list:
-    """Broadcast blocks of at most ``BLOCK`` entries, fetched one block at a time."""
-    entries = scan_entries(confirmed).distinct()
-    numbered = cut_lineage(entries.select("entry", F.pmod(F.xxhash64("entry"), F.lit(1 << 30)).alias("h")))
-    n = max(1, -(-numbered.count() // (BLOCK * 3 // 4)))
-    return [
-        spark.sparkContext.broadcast([r["entry"] for r in numbered.filter(F.pmod("h", F.lit(n)) == i).select("entry").toLocalIterator()]) for i in range(n)
-    ]
+def _entries(confirmed: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """The entries of the second scan, and all of them as a list if they are few enough to be one automaton."""
+    entries = cut_lineage(scan_entries(confirmed).distinct())
+    size = entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("entry")), F.lit(0)).alias("chars")).first()
+    few = size["n"] <= BLOCK and size["chars"] <= BLOCK_CHARS
+    return entries, [r["entry"] for r in entries.collect()] if few else None
+
+
+_RUN = re.compile(r"[^\W_]+")
+
+
+def _anchor(entry: str) -> str:
+    """The longest run of letters and digits of a literal; of a form, its prefix. A text that holds the entry has this run, with nothing before or after it."""
+    if entry[0] == "~":
+        return re.match(r"~([A-Za-z]+)", entry)[1]
+    return max(_RUN.findall(entry[1:]), key=len, default="")
+
+
+def _run_hash(run: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(run.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"anchor": [_run_hash(_anchor(e)) for e in b["entry"]], "entry": b["entry"]})
+
+
+def _entries_of_texts(texts: DataFrame, keys: list[str], text: str, entries: DataFrame) -> DataFrame:
+    """(keys, entries): for each text the entries that it may hold, for more entries than one automaton takes.
+
+    Only runs that are in the bit set of anchors are shuffled. An anchor that very many texts have is skewed on the texts' side
+    alone: there is one row for each entry on the other.
+    """
+    spark = texts.sparkSession
+    anchored = cut_lineage(entries.mapInPandas(_anchored, "anchor long, entry string"))
+    slot = F.col("anchor").bitwiseAND((1 << ANCHOR_BITS) - 1)
+    bits = anchored.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(anchor & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    rows = bits.toArrow()  # at most 2 ** (ANCHOR_BITS - 6) rows
+    words = np.zeros(1 << (ANCHOR_BITS - 6), dtype=np.int64)
+    words[np.asarray(rows["w"])] = np.asarray(rows["b"])
+    known = spark.sparkContext.broadcast(words)
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mask = (1 << ANCHOR_BITS) - 1
+        for b in batches:
+            at, anchors = [], []
+            for i, t in enumerate(b[text]):
+                for h in {_run_hash(r) for r in set(_RUN.findall(t))}:
+                    if int(known.value[(h & mask) >> 6]) >> (h & 63) & 1:
+                        at.append(i)
+                        anchors.append(h)
+            yield b[keys].iloc[at].assign(anchor=anchors)
+
+    kinds = dict(texts.dtypes)
+    hits = texts.select(*keys, text).filter(F.length(text) > 0).mapInPandas(runs, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", anchor long")
+    return hits.join(anchored, "anchor").groupBy(*keys).agg(F.collect_set("entry").alias("entries"))
 
 
 def credential_lines(symbols: DataFrame, files: DataFrame, key: str = "symbol_id", file: str = "file_id", text: str = "body_text", **columns) -> DataFrame:
     """(key, line): each line of each text on which a credential begins; lines count from 1.
 
     Null and empty texts have none; repeated rows count once; a text whose file isn't known counts as
-    no sample. A private key is reported by its BEGIN line.
+    no sample. A private key is reported by its BEGIN line. Private keys, pieces of joined literals and literals of fewer than
+    8 characters are reported where they were indexed; everything else where the second scan finds it.
     """
     spark = symbols.sparkSession
     placed, rare = confirmed_literals(symbols, files, key, file, text, **columns)
     placed = cut_lineage(placed.join(rare, "value"))
     kinds = _schema(symbols, key, file)
-    direct = placed.filter("how <> 'part'").select("key", "file", "line")
-    confirmed = placed.filter(F.col("how").isin("format", "place", "name", "bare") & (F.length("value") >= 8)).select("value").distinct()
+    scanned = F.col("how").isin("format", "place", "name", "bare") & (F.length("value") >= 8)
+    direct = placed.filter((F.col("how") != "part") & ~scanned).select("key", "file", "line")
+    entries, few = _entries(placed.filter(scanned).select("value").distinct())
     texts = _texts(symbols, key, file, text)
+    schema = f"key {kinds[0]}, file {kinds[1]}, line long"
+
+    def found(k, f, t: str, automaton) -> list[tuple]:
+        return [(k, f, t.count("\n", 0, s) + 1) for s, _ in _spans(automaton, t)]
+
+    if few is not None:
+        everything = spark.sparkContext.broadcast(few)
 
-    def scan(block):
         def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            automaton = _scanner(block.value) if block.value else None
+            automaton = _scanner(everything.value) if everything.value else None
             for b in batches:
-                rows = []
-                if automaton is not None:
-                    for k, f, t in zip(b["key"], b["file"], b["text"], strict=True):
-                        rows += [(k, f, t.count("\n", 0, s) + 1) for s, _ in _spans(automaton, t)]
+                rows = [r for k, f, t in zip(b["key"], b["file"], b["text"], strict=True) for r in found(k, f, t, automaton)] if automaton is not None else []
                 yield pd.DataFrame(rows, columns=["key", "file", "line"])
 
-        return texts.mapInPandas(lines, f"key {kinds[0]}, file {kinds[1]}, line long")
+        again = texts.mapInPandas(lines, schema)
+    else:
 
-    again = reduce(DataFrame.unionByName, [scan(b) for b in _blocks(spark, confirmed)]).distinct()
+        def own_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [r for k, f, t, e in zip(b["key"], b["file"], b["text"], b["entries"], strict=True) for r in found(k, f, t, _scanner(list(e)))]
+                yield pd.DataFrame(rows, columns=["key", "file", "line"])
+
+        # A key's repeated rows may have different texts: the digest keeps them apart.
+        told = texts.withColumn("digest", F.xxhash64("text"))
+        mine = _entries_of_texts(told, ["key", "digest"], "text", entries)
+        again = told.join(mine, ["key", "digest"]).select("key", "file", "text", "entries").mapInPandas(own_lines, schema)
+    again = again.distinct()
     defaults = {"path": "path", "owner": "project", "version": "last_parsed"} | {k: v for k, v in columns.items() if k != "shared_by"}
     outside = again.join(_paths(files, file, **defaults), "file", "left").filter(~F.coalesce("sample", F.lit(False))).select("key", "file", "line")
     return direct.unionByName(outside).select(F.col("key").alias(key), "line").distinct()
@@ -371,37 +440,55 @@ def _shortened(text: str) -> list[int]:
     return [m.start() - i for i, m in enumerate(re.finditer("\r\n", text))]
 
 
-def _masking(block):
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        automaton = _scanner(block.value) if block.value else None
-
-        def one(t: str | None) -> str | None:
-            if t is None or automaton is None:
-                return t
-            # Literals were learned with plain line ends: they are looked for so, and masked where they stand.
-            plain, shortened = (re.sub(r"\r\n?", "\n", t), _shortened(t)) if "\r" in t else (t, [])
-            for s, e in reversed(_spans(automaton, plain)):
-                t = t[: s + bisect_left(shortened, s)] + MASK + t[e + bisect_left(shortened, e) :]
-            return t
-
-        return texts.map(one)
-
-    return mask
+def _masked(text: str, automaton, pieces: list[str]) -> str:
+    """``text`` with the automaton's hits and whole ``pieces`` masked."""
+    # Literals were learned with plain line ends: they are looked for so, and masked where they stand.
+    plain, shortened = (re.sub(r"\r\n?", "\n", text), _shortened(text)) if "\r" in text else (text, [])
+    spans = _spans(automaton, plain) if automaton is not None else []
+    for p in pieces:
+        spans += [m.span(1) for m in re.finditer(r"[\"'`](" + re.escape(p) + r")(?=[\"'`])", plain)]
+    last = len(plain) + 1
+    for s, e in sorted(set(spans), reverse=True):
+        if e <= last:
+            text = text[: s + bisect_left(shortened, s)] + MASK + text[e + bisect_left(shortened, e) :]
+            last = s
+    return text
 
 
 def redacted(symbols: DataFrame, files: DataFrame, key: str = "symbol_id", file: str = "file_id", text: str = "body_text", **columns) -> DataFrame:
     """``symbols`` with every credential in ``text`` replaced by ``MASK``, its quotes and surroundings untouched.
 
-    Texts of sample files, nulls and texts without credentials stay as they are; extra columns are kept.
+    Texts of sample files, nulls and texts without credentials stay as they are; extra columns are kept. Short pieces of a joined
+    literal are masked in the texts they were found in, where they stand between quotes.
     """
     spark = symbols.sparkSession
     placed, rare = confirmed_literals(symbols, files, key, file, text, **columns)
-    confirmed = placed.join(rare, "value").filter(F.length("value") >= 6).select("value").distinct()
+    placed = cut_lineage(placed.join(rare, "value").select("key", "value").distinct())
+    entries, few = _entries(placed.filter(F.length("value") >= 6).select("value").distinct())
+    pieces = placed.filter(F.length("value") < 6).groupBy(F.col("key").alias("__key")).agg(F.collect_set("value").alias("__pieces"))
     defaults = {"path": "path", "owner": "project", "version": "last_parsed"} | {k: v for k, v in columns.items() if k != "shared_by"}
-    samples = _paths(files, file, **defaults).select(F.col("file").alias("__file"), "sample")
-    out = symbols.join(samples, F.col(file) == F.col("__file"), "left").drop("__file")
-    for block in _blocks(spark, confirmed):
-        masked = _masking(block)(F.col(text))
-        out = out.withColumn(text, F.when(F.coalesce("sample", F.lit(False)), F.col(text)).otherwise(masked))
-    return out.drop("sample")
+    samples = _paths(files, file, **defaults).select(F.col("file").alias("__file"), F.col("sample").alias("__sample"))
+    out = symbols.join(samples, F.col(file) == F.col("__file"), "left").join(pieces, F.col(key) == F.col("__key"), "left").drop("__file", "__key")
+    if few is not None:
+        everything = spark.sparkContext.broadcast(few)
+
+        @F.pandas_udf("string")
+        def mask(texts: pd.Series, short: pd.Series) -> pd.Series:
+            automaton = _scanner(everything.value) if everything.value else None
+            return pd.Series([None if t is None else _masked(t, automaton, [] if p is None else list(p)) for t, p in zip(texts, short, strict=True)], dtype=object)
+
+        masked = mask(F.col(text), F.col("__pieces"))
+    else:
+
+        @F.pandas_udf("string")
+        def mask_own(texts: pd.Series, short: pd.Series, own: pd.Series) -> pd.Series:
+            each = zip(texts, short, own, strict=True)
+            return pd.Series([None if t is None else _masked(t, None if e is None else _scanner(list(e)), [] if p is None else list(p)) for t, p, e in each], dtype=object)
+
+        plain = F.regexp_replace(F.col(text), r"\r\n?", "\n")
+        out = out.withColumn("__digest", F.xxhash64(plain))
+        mine = _entries_of_texts(out.select("__digest", plain.alias("__plain")), ["__digest"], "__plain", entries)
+        out = out.join(mine.withColumnRenamed("entries", "__entries"), "__digest", "left")
+        masked = mask_own(F.col(text), F.col("__pieces"), F.col("__entries"))
+    out = out.withColumn(text, F.when(F.coalesce("__sample", F.lit(False)), F.col(text)).otherwise(masked))
+    return out.drop("__sample", "__pieces", "__digest", "__entries")

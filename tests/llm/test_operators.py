@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -55,6 +56,36 @@ def test_comment_in_the_body(body):
     assert "Keeps handles" not in docpairs.code_of(body) or '"""' in body
 
 
+HOSTILE = [
+    "*" * 10_000, "&" * 10_000, "a<" * 5_000, "x " + "*" * 10_000, "/*\n" + "*" * 10_000 + "\n*/", "a(a(" * 3_000, "a(" * 3_000 + ")" * 3_000 + "{", "fn (" * 5_000, "fn a<" * 5_000, "static\n" * 5_000, "let a:" * 4_000,
+    "a ):" * 4_000 + "=", "\\'" * 5_000, " " * 10_000, "a" + " " * 10_000 + "x", "do " * 4_000, '"""' * 4_000, "a b\n" * 5_000, "-" * 10_000, "a) : b " * 2_000 + "{", "def f(" * 3_000, "a throws " * 2_000, "@param " * 2_000, "(" * 10_000,
+]
+
+
+@pytest.mark.parametrize("text", HOSTILE, ids=range(len(HOSTILE)))
+def test_any_text_ends_soon(text):
+    began = time.perf_counter()
+    docpairs.pair_of("f", text, text, text)
+    docpairs.code_of(text)
+    assert time.perf_counter() - began < 0.5  # a tenth of it on an idle machine
+
+
+@pytest.mark.parametrize("text", HOSTILE, ids=range(len(HOSTILE)))
+def test_credentials_of_any_text_end_soon(text):
+    began = time.perf_counter()
+    credentials.candidates(text)
+    assert time.perf_counter() - began < 1.0
+
+
+def test_signatures_over_several_lines():
+    assert docpairs.signature_of("x = 1\npublic static\n  final void run(int a,\n    int b) throws IOException {\n}") == ("run", "int a,\n    int b", 1)
+    assert docpairs.signature_of("if (a) {\n}\nint main(void) {\n}") == ("main", "void", 2)
+    assert docpairs.signature_of("export const load: Loader = async (path, { retry }) => {}") == ("load", "path, { retry }", 0)
+    assert docpairs.signature_of("func (s *Store) Put(key string) error {") == ("Put", "key string", 0)
+    assert docpairs.signature_of("pub(crate) unsafe fn read<T: Copy>(at: usize) -> T {") == ("read", "at: usize", 0)
+    assert docpairs.signature_of("call(a, b);\n") is None and docpairs.signature_of("") is None
+
+
 def test_inner_comments_are_no_documentation():
     assert docpairs.pair_of("f", None, None, "def f(x):\n    # the cheap path comes first here\n    return x\n") == ("", 0)
 
@@ -352,6 +383,26 @@ def test_redaction_with_windows_line_ends(spark):
     assert got == "a = 1\r\n\r\nk = `-----BEGIN RSA PRIVATE KEY-----***-----END RSA PRIVATE KEY-----`\r\nb = 2\r\ndb_password = '***'\r\n"
 
 
+def test_more_literals_than_one_automaton_takes(spark, monkeypatch):
+    files = spark.createDataFrame([(i, f"p{i % 3}", f"src/a{i}.py", 1.0) for i in range(40)], "file_id long, project string, path string, last_parsed double")
+    values = [f"zR{i}q7Lm{i * 37 % 11}Xw{i}" for i in range(40)]
+    texts = [f'db_password = "{v}"\r\nx = 1\r\n# was {values[(i + 1) % 40]} before\r\nother = {v}9\r\n' for i, v in enumerate(values)]
+    symbols = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)] + [(90, 1, None), (91, 2, "")], "symbol_id long, file_id long, body_text string")
+    one = rows(credentials.credential_lines(symbols, files), "symbol_id", "line")
+    clear = rows(credentials.redacted(symbols, files), "symbol_id", "body_text")
+    assert len(one) == 80 and not any(f'"{v}"' in (t or "") for v in values for _, t in clear)
+    monkeypatch.setattr(credentials, "BLOCK", 3)
+    assert rows(credentials.credential_lines(symbols, files), "symbol_id", "line") == one
+    assert sorted(credentials.redacted(symbols, files).select("symbol_id", "body_text").collect()) == sorted(map(tuple, clear))
+
+
+def test_short_pieces_are_masked(spark):
+    files = spark.createDataFrame([(1, "p", "src/a.py", 1.0)], "file_id long, project string, path string, last_parsed double")
+    symbols = spark.createDataFrame([(1, 1, 'api_token = "zX9k" + "Qw7L" + "m2"\nlabel = "plain"\n')], "symbol_id long, file_id long, body_text string")
+    out = credentials.redacted(symbols, files).first().body_text
+    assert not any(x in out for x in ("zX9k", "Qw7L", "m2")) and 'label = "plain"' in out
+
+
 def test_redaction(spark):
     symbols = [(1, 1, 'a = 1\npassword = "kY6JnaYZkat9"  # note\n', "k", 1, "v"), (2, 1, None, "k", 1, "v"), (3, 1, "nothing", "k", 1, "v"), (4, 2, 'password = "kY6JnaYZkat9"', "k", 1, "v"), (5, 1, 'k = "a5122b53afdff174x" + y', "k", 1, "v")]
     files = [(1, "p", "a.py", 1.0, "o"), (2, "p", "samples/a.py", 1.0, "o")]

@@ -11,15 +11,23 @@ than half of its characters are spam.
 
 Only lines without sentence structure, and lines of long runs of few words, can become spam, so just
 their pairs are joined with the corpus counts; the counts themselves cover everything.
+
+Texts are cut into lines and words by Arrow's own functions, batch by batch; what leaves the stage are hashes and counts: each batch's
+counts of words and of pairs, added up by one aggregate, and a row of numbers per line with the hashes of its pairs if it is
+judged. Its patterns are matched in linear time, whatever the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
-from ..session import cut_lineage
+from ..session import written
 
 # Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -67,90 +75,158 @@ _HOST = r"(?i)\b(?:[a-z0-9-]+\.)+(?:com|net|org|io|example|info|biz|shop|site|on
 _CODE_LINE = r"^[\t ]*(?:[{}()\[\];]+|.*[;{}]|(?:def|class|func|fn|let|const|var|return|import|from|public|private|if|for|while)\b.*[:;{(].*|[#/*]{1,3}\s?.*|@\w+.*)\s*$"
 
 
-def _line_words(line: Column) -> Column:
-    """A line's words in lower case, addresses and markup left out, hashtags split at capitals, numbers as one word."""
-    t = F.regexp_replace(F.regexp_replace(line, _URL, " "), _TAG, " ")
-    t = F.regexp_replace(t, r"(?<=\p{Ll})(?=\p{Lu})", " ")
-    return F.filter(F.split(F.regexp_replace(F.lower(t), r"\b\p{N}+\b", "0"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+#: Bytes of text that a stage handles at a time.
+SLICE = 8 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, at, chars, w): the pages' lines outside code fences; w has the words, their number, how many are function words, and how many are different."""
-    one = docs.groupBy(key).agg(F.max(text).alias("__t")).filter(F.trim("__t") != "")
-    body = one.select(key, F.length("__t").alias("__all"), F.regexp_replace("__t", _FENCE, "\n").alias("__b"))
-    split = body.select(key, "__all", F.posexplode(F.split("__b", r"[\r\n]+|(?<=[.!?] )(?=#)")).alias("at", "line"))
-    split = split.withColumn("line", F.regexp_replace("line", _FORWARDED, ""))
-    functions = sorted(FUNCTION_WORDS)  # a set of literals is looked up by hash
-
-    def of_words(w: Column) -> Column:
-        different = F.array_distinct(w)
-        known = F.size(F.filter(w, lambda x: x.isin(functions)))
-        # How often the two most frequent content words occur: the longest runs of the sorted words; only asked of lines that can be dense.
-        content = F.array_sort(F.filter(w, lambda x: ~x.isin([*functions, "0"])))
-
-        def step(acc: Column, x: Column) -> Column:
-            run = F.when(x == acc["last"], acc["run"] + 1).otherwise(1)
-            other = x != acc["top"]
-            second = F.when(other & (run > acc["best"]), acc["best"]).when(other, F.greatest(acc["second"], run)).otherwise(acc["second"])
-            top = F.when(run > acc["best"], x).otherwise(acc["top"])
-            return F.struct(x.alias("last"), run.alias("run"), top.alias("top"), F.greatest(acc["best"], run).alias("best"), second.alias("second"))
-
-        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit("").alias("top"), F.lit(0).alias("best"), F.lit(0).alias("second"))
-        most = F.aggregate(content, start, step, lambda acc: F.struct(acc["best"].alias("best"), acc["second"].alias("second")))
-        can_be_dense = (F.size(w) >= RUN_WORDS) & (F.size(different) <= RUN_DIFFERENT * F.size(w)) & (known < RUN_FUNCTION_SHARE * F.size(w))
-        return F.struct(
-            w.alias("words"),
-            F.size(w).alias("n"),
-            known.alias("known"),
-            F.size(different).alias("different"),
-            F.when(can_be_dense, most).alias("most"),
-        )
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about ``SLICE`` bytes; a longer text is a part of its own."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    part = np.cumsum(sizes) // SLICE
+    for lo in np.flatnonzero(np.diff(part, prepend=-1)).tolist():
+        hi = int(np.searchsorted(part, part[lo], side="right"))
+        yield batch.slice(lo, hi - lo)
+
+
+class _Words:
+    """The lines of a batch of texts and their words, as arrays of numbers."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        import xxhash
+
+        body = pc.replace_substring_regex(pc.replace_substring_regex(texts, _FENCE, "\n"), r"([.!?] )#", "\\1\n#")
+        lines = pc.split_pattern_regex(body, r"[\r\n]+")
+        self.page = np.asarray(pc.list_parent_indices(lines))  # of each line
+        first = np.searchsorted(self.page, np.arange(len(texts)))
+        self.at = np.arange(len(self.page)) - first[self.page]
+        self.line = pc.replace_substring_regex(pc.list_flatten(lines), _FORWARDED, "")
+        plain = pc.replace_substring_regex(pc.replace_substring_regex(self.line, _URL, " "), _TAG, " ")
+        plain = pc.utf8_lower(pc.replace_substring_regex(plain, r"(\p{Ll})(\p{Lu})", r"\1 \2"))
+        lists = pc.split_pattern_regex(plain, r"[^\p{L}\p{N}]+")
+        words, row = pc.list_flatten(lists), np.asarray(pc.list_parent_indices(lists))
+        good = np.asarray(pc.not_equal(words, ""))
+        words = pc.replace_substring_regex(words.filter(pa.array(good)), r"^\p{N}+$", "0").dictionary_encode()
+        self.row, self.word = row[good], np.asarray(words.indices, dtype=np.int64)  # of each word: its line, its number in this batch
+        values = words.dictionary.to_pylist()
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(v) for v in values), dtype=np.uint64, count=len(values))
+        self.functions = np.fromiter((v in FUNCTION_WORDS for v in values), dtype=bool, count=len(values))
+        self.numbers = np.fromiter((v == "0" for v in values), dtype=bool, count=len(values))
+        side_by_side = self.row[1:] == self.row[:-1]
+        self.left, self.right = np.flatnonzero(side_by_side), np.flatnonzero(side_by_side) + 1
+
+    def per_line(self, of_words: np.ndarray | None = None) -> np.ndarray:
+        """How many words each line has, or how many of those marked."""
+        return np.bincount(self.row if of_words is None else self.row[of_words], minlength=len(self.page))
+
+    def pair_hashes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        a, b = self.hashes[self.word[left]], self.hashes[self.word[right]]
+        x = a * _MIX[0] + (b ^ (b >> np.uint64(29))) * _MIX[1]
+        return (x ^ (x >> np.uint64(32))).view(np.int64)
 
-    facts = let(_line_words(F.col("line")), of_words)
-    return split.select(key, "__all", "at", "line", F.length(F.trim("line")).alias("chars"), facts.alias("w"))
+    def has(self, pattern: str) -> np.ndarray:
+        return np.asarray(pc.match_substring_regex(self.line, pattern))
 
+    def count(self, pattern: str) -> np.ndarray:
+        return np.asarray(pc.count_substring_regex(self.line, pattern), dtype=np.int64)
 
-def _pairs(words: Column) -> Column:
-    return let(words, lambda w: F.slice(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b)), 1, F.greatest(F.size(w) - 1, F.lit(0))))
+    def judged(self) -> dict[str, np.ndarray]:
+        """What is known of each line without the corpus: shape, numbers of words and links, whether it is a long run of few words."""
+        n, known = self.per_line(), self.per_line(self.functions[self.word])
+        code, times = np.unique(self.row * len(self.hashes) + self.word, return_counts=True)
+        row, word = np.divmod(code, max(len(self.hashes), 1))
+        different = np.bincount(row, minlength=len(n))
+        # The two most frequent content words of each line.
+        content = ~(self.functions | self.numbers)[word]
+        row, times = row[content], times[content]
+        order = np.lexsort((-times, row))
+        row, times = row[order], times[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        best, second = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
+        best[row[rank == 0]], second[row[rank == 1]] = times[rank == 0], times[rank == 1]
+        # Keywords come in every clause; a word of repeated sentences comes once in each of them.
+        # With more different words, a list of sentences about one thing looks alike, so the keyword must be a phrase of two words.
+        keyword = np.where(different <= RUN_VOCABULARY, best, second)
+        dense = (n >= RUN_WORDS) & (different <= RUN_DIFFERENT * n) & (keyword >= RUN_KEYWORD * n) & (known < RUN_FUNCTION_SHARE * n)
+        # Or a long line turns round very few words.
+        round_and_round = (n >= 4 * RUN_WORDS) & (different <= np.minimum(RUN_VOCABULARY, RUN_FEW * n))
+        link = self.has(_BARE_LINK) | self.has(_LINK_LABELS) | self.has(_HASHTAGS)
+        form = self.has(_LOG) | self.has(_TABLE)
+        prose = (known >= MIN_FUNCTION_SHARE * n) & (n >= MIN_WORDS)
+        shape = np.select([link, form, prose, self.has(_HOST) & (n <= 12), self.has(_CODE_LINE)], ["link", "form", "prose", "link", "form"], "loose")
+        links = np.max([self.count(p) for p in (_URL, _HOST, _LABEL, _HASHTAG)], axis=0)
+        run = dense | round_and_round
+        return {
+            "chars": np.asarray(pc.utf8_length(pc.utf8_trim(self.line, " ")), dtype=np.int64), "n_words": n, "n_links": np.where(shape == "link", links, 0), "shape": shape,
+            "doubtful": (shape == "loose") | ((shape == "prose") & run),
+        }
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow stage: (pair, h, n): how often the slice has each word (pair false) and each pair of neighbours."""
+    for b in batches:
+        for s in _slices(b, "__t"):
+            w = _Words(s.column("__t"))
+            pairs, times = np.unique(w.pair_hashes(w.left, w.right), return_counts=True)
+            n = np.bincount(w.word, minlength=len(w.hashes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(n) + len(pairs)) >= len(n)), pa.array(np.concatenate([w.hashes.view(np.int64), pairs])), pa.array(np.concatenate([n, times]).astype(np.int64))], names=["pair", "h", "n"]
+            )
+
+
+def _lists(values: list[np.ndarray], starts: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(v)) for v in values]
+
+
+def _line_stage(key: str):
+    """Arrow stage: a row per line, with the hashes of its different pairs and their words if it is judged by them."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in _slices(b, "__t"):
+                w = _Words(s.column("__t"))
+                facts = w.judged()
+                doubtful = facts.pop("doubtful")
+                inside = doubtful[w.row[w.left]]
+                left, right = w.left[inside], w.right[inside]
+                h, row = w.pair_hashes(left, right), w.row[left]
+                order = np.lexsort((h, row))
+                h, row, left, right = h[order], row[order], left[order], right[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                first = np.flatnonzero(new)
+                k = np.diff(first, append=len(h)).astype(np.int64)
+                starts = np.searchsorted(row[first], np.arange(len(w.page) + 1))
+                words = w.hashes.view(np.int64)
+                whole = np.asarray(pc.utf8_length(s.column("__t")), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [s.column(key).take(pa.array(w.page)), pa.array(whole[w.page]), pa.array(w.at.astype(np.int32)), *[pa.array(v) for v in facts.values()],
+                     *_lists([h[first], words[w.word[left[first]]], words[w.word[right[first]]], k], starts)],
+                    names=[key, "__all", "at", *facts, "pair", "a", "b", "k"],
+                )
+
+    return stage
 
 
 def line_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, at, chars, n_words, n_links, spam): each line of each page with whether it is spam; lines of prose, code, logs and tables are not."""
-    # Written once, read by the counts and by the lines that are judged: splitting texts is the dear part.
-    lines = cut_lineage(_lines(docs, key, text))
-    shape = (
-        F.when(F.col("line").rlike(_BARE_LINK) | F.col("line").rlike(_LINK_LABELS) | F.col("line").rlike(_HASHTAGS), "link")
-        .when(F.col("line").rlike(_LOG) | F.col("line").rlike(_TABLE), "form")
-        .when((F.col("w.known") >= MIN_FUNCTION_SHARE * F.col("w.n")) & (F.col("w.n") >= MIN_WORDS), "prose")
-        .when(F.col("line").rlike(_HOST) & (F.col("w.n") <= 12), "link")
-        .when(F.col("line").rlike(_CODE_LINE), "form")
-        .otherwise("loose")
+    one = docs.groupBy(key).agg(F.max(text).alias("__t")).filter(F.trim("__t") != "")
+    kind = dict(docs.dtypes)[key]
+    # Written once, read by the pairs and by the verdicts. No texts are written, and no words but as hashes.
+    lines = written(
+        one.mapInArrow(_line_stage(key), f"`{key}` {kind}, __all long, at int, chars long, n_words long, n_links long, shape string, pair array<long>, a array<long>, b array<long>, k array<long>")
     )
-    # Keywords come in every clause; a word of repeated sentences comes once in each of them.
-    n = F.col("w.n")
-    # With more different words, a list of sentences about one thing looks alike, so the keyword must be a phrase of two words.
-    keyword = F.when(F.col("w.different") <= RUN_VOCABULARY, F.col("w.most.best")).otherwise(F.col("w.most.second"))
-    dense = (n >= RUN_WORDS) & (F.col("w.different") <= RUN_DIFFERENT * n) & (keyword >= RUN_KEYWORD * n) & (F.col("w.known") < RUN_FUNCTION_SHARE * n)
-    # Or a long line turns round very few words.
-    round_and_round = (n >= 4 * RUN_WORDS) & (F.col("w.different") <= F.least(F.lit(RUN_VOCABULARY), RUN_FEW * n))
-    run = dense | round_and_round
-    n_links = F.when(F.col("shape") == "link", F.greatest(*[F.regexp_count("line", F.lit(p)) for p in (_URL, _HOST, _LABEL, _HASHTAG)])).otherwise(0)
-    kinds = lines.select(key, "__all", "at", "chars", "line", F.col("w.words").alias("words"), shape.alias("shape"), run.alias("run"))
-    kinds = kinds.select(key, "__all", "at", "chars", "words", F.size("words").alias("n_words"), n_links.alias("n_links"), "shape", "run")
-
     # Corpus counts: every line of every page.
-    words = lines.select(F.explode("w.words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    pairs = lines.select(F.explode(_pairs(F.col("w.words"))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_pair"))
-    totals = words.agg(F.sum("n").alias("n_words")).crossJoin(pairs.agg(F.sum("n_pair").alias("n_pairs")))  # one row
+    counts = one.select("__t").mapInArrow(_counts, "pair boolean, h long, n long").groupBy("pair", "h").agg(F.sum("n").alias("n"))
+    counts = written(counts)
+    words, pairs = counts.filter("NOT pair").select("h", "n"), counts.filter("pair").select(F.col("h").alias("pair"), F.col("n").alias("n_pair"))
+    totals = counts.agg(F.sum(F.when(~F.col("pair"), F.col("n"))).alias("n_words"), F.sum(F.when(F.col("pair"), F.col("n"))).alias("n_pairs"))  # one row
 
-    doubtful = kinds.filter((F.col("shape") == "loose") | ((F.col("shape") == "prose") & F.col("run")))
-    own = doubtful.select(key, "at", F.explode(_pairs(F.col("words"))).alias("pair")).groupBy(key, "at", "pair").agg(F.count(F.lit(1)).alias("k"))
-    left, right = F.substring_index("pair", " ", 1), F.substring_index("pair", " ", -1)
+    own = lines.select(key, "at", F.explode(F.arrays_zip("pair", "a", "b", "k")).alias("x")).select(key, "at", "x.*")
     counted = (
         own.join(pairs, "pair")
-        .withColumns({"a": left, "b": right})
-        .join(words.select(F.col("w").alias("a"), F.col("n").alias("n_a")), "a")
-        .join(words.select(F.col("w").alias("b"), F.col("n").alias("n_b")), "b")
+        .join(words.select(F.col("h").alias("a"), F.col("n").alias("n_a")), "a")
+        .join(words.select(F.col("h").alias("b"), F.col("n").alias("n_b")), "b")
         .crossJoin(F.broadcast(totals))
     )
     p = F.col("n_pair") / F.col("n_pairs")
@@ -165,9 +241,9 @@ def line_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             (F.sum(F.when(F.col("in_page") >= REPEATS, F.col("k")).otherwise(0)) / F.sum("k")).alias("repeated"),
         )
     )
-    judged = kinds.drop("words").join(scores, [key, "at"], "left")
+    judged = lines.drop("pair", "a", "b", "k").join(scores, [key, "at"], "left")
     loose = (F.col("shape") == "loose") & (F.col("coherence").isNull() | (F.col("coherence") < INCOHERENT) | (F.col("repeated") >= STUFFED_SHARE))
-    stuffed = (F.col("shape") == "prose") & F.col("run") & (F.col("repeated") >= RUN_REPEATED)
+    stuffed = (F.col("shape") == "prose") & (F.col("repeated") >= RUN_REPEATED)
     return judged.select(key, "__all", "at", "chars", "n_words", "n_links", "shape", "coherence", "repeated", ((F.col("shape") == "link") | loose | F.coalesce(stuffed, F.lit(False))).alias("spam"))
 
 

@@ -2,14 +2,17 @@
 
 Vectors are normalised, so the cosine is a dot product. Coarse centres (fitted on a bounded sample)
 split each model's vectors into cells. A vector is stored in the cell of its nearest centre, and is
-searched for there and in the cells of the next few centres. In each cell a directed graph is built:
+searched for there and in the cells of the next few centres. A cell that is still too large is split by
+centres of its own, fitted on a bounded sample of it, and so on, so cells stay of one size however many
+vectors there are. In each cell a directed graph is built:
 vectors are inserted in growing batches; greedy searches over the graph so far propose neighbours,
 and relaxed distance pruning keeps those that no kept neighbour makes superfluous, so edges stay
 diverse; edges back are pruned likewise. Then a beam search from a few entry points answers the
 cell's queries. All searches of a cell run side by side in array operations.
 
-A cell of more than ``MAX_CELL`` vectors (a hot cell) is split at random into parts with a graph each,
-and its queries visit every part, so no task gets an unbounded group and no vector is left out.
+A cell that no centres could split (very many vectors that hardly differ) is cut at random into parts of about ``MAX_CELL`` vectors
+with a graph each, and its queries into chunks of about ``MAX_QUERIES``; every chunk visits every part. So no task gets more than a
+part and a chunk, and no vector is left out.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
-#: Vectors of a model and size that the centres are fitted on at most.
-SAMPLE = 20_000
-#: Vectors a cell should hold, the most centres of one model, and the most vectors of one graph.
-CELL, MAX_CENTRES, MAX_CELL = 600, 2_048, 6_000
+#: Vectors of a model and size that the centres are fitted on at most, and of all models together.
+SAMPLE, ALL_SAMPLES = 20_000, 200_000
+#: Vectors a cell should hold, the most centres that a model or a large cell is split by, the most vectors of one graph, and the most queries a task answers.
+CELL, MAX_CENTRES, MAX_CELL, MAX_QUERIES = 600, 2_048, 6_000, 24_000
+#: Times that cells which are too large are split by centres of their own.
+LEVELS = 4
 #: Cells that a query visits at most, and how much less similar a further centre may be than the nearest.
 PROBES, PROBE_MARGIN = 3, 0.12
 #: Graph: edges a vector keeps, width of the searches that build it, relaxation of the pruning.
@@ -43,7 +48,7 @@ SEED = 20250101
 
 
 def usable(df: DataFrame, key: str, model: str, dim: str, vector: str) -> DataFrame:
-    """(key, model, dim, vector) without repeated rows and without vectors that have other than dim finite values or only zeros."""
+    """(id, model, dim, vector) without vectors that have other than dim finite values or only zeros."""
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = df.filter(F.col(key).isNotNull() & F.col(model).isNotNull() & (F.size(v) == F.col(dim)) & finite & F.exists(v, lambda x: x != 0))
@@ -234,8 +239,20 @@ class Graph:
             at += self.degree
 
 
+def _visits(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, centre, whether it is the nearest): the centres each vector is stored and searched for at."""
+    sims = x @ centres.T
+    m = min(PROBES, sims.shape[1])
+    near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+    value = np.take_along_axis(sims, near, 1)
+    order = np.argsort(-value, axis=1, kind="stable")
+    near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
+    rows, ranks = np.nonzero(value >= value[:, :1] - PROBE_MARGIN)
+    return rows, near[rows, ranks], ranks == 0
+
+
 def _assign(dims: dict[tuple[str, int], np.ndarray], count: bool = False):
-    """Arrow stage: each vector with its cell, and once more as a query for each further cell it visits; or only the cells' numbers of vectors."""
+    """Arrow stage: each vector with its cell, and once more as a query for each further cell it visits; or only the cells' numbers of vectors and of visits."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,40 +261,59 @@ def _assign(dims: dict[tuple[str, int], np.ndarray], count: bool = False):
             for model, dim in sorted(set(zip(models.tolist(), sizes.tolist(), strict=True))):
                 at = np.flatnonzero((models == model) & (sizes == dim))
                 part = t.take(pa.array(at))
-                x = _normalised(part["vector"], dim)
-                centres = dims[(model, dim)]
-                sims = x.astype(np.float32) @ centres.T
+                raw = _normalised(part["vector"], dim).astype(np.float32)
+                rows, cells, own = _visits(raw, dims[(model, dim)])
                 if count:
-                    cells, n = np.unique(sims.argmax(axis=1), return_counts=True)
+                    met = np.unique(cells)
+                    n, visits = (np.bincount(c, minlength=met[-1] + 1)[met] if len(met) else met for c in (cells[own], cells))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([model] * len(cells)), pa.array(np.full(len(cells), dim, dtype=np.int32)), pa.array(cells.astype(np.int32)), pa.array(n.astype(np.int64))], names=["model", "dim", "cell", "n"]
+                        [pa.array([model] * len(met)), pa.array(np.full(len(met), dim, dtype=np.int32)), pa.array(met.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(visits.astype(np.int64))],
+                        names=["model", "dim", "cell", "n", "visits"],
                     )
                     continue
-                m = min(PROBES, sims.shape[1])
-                near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-                value = np.take_along_axis(sims, near, 1)
-                order = np.argsort(-value, axis=1, kind="stable")
-                near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
-                visits = value >= value[:, :1] - PROBE_MARGIN
-                rows, ranks = np.nonzero(visits)
-                raw = x.astype(np.float32)
                 blobs = [raw[i].tobytes() for i in range(len(raw))]
-                ids = part["id"].take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.combine_chunks(),
-                        pa.array([model] * len(rows)),
-                        pa.array(np.full(len(rows), dim, dtype=np.int32)),
-                        pa.array(near[rows, ranks].astype(np.int32)),
-                        pa.array(ranks == 0),
-                        pa.array([blobs[i] for i in rows], pa.binary()),
-                    ],
+                    [part["id"].take(pa.array(rows)).combine_chunks(), pa.array([model] * len(rows)), pa.array(np.full(len(rows), dim, dtype=np.int32)), pa.array(cells.astype(np.int64)), pa.array(own), pa.array([blobs[i] for i in rows], pa.binary())],
                     names=["id", "model", "dim", "cell", "own", "unit"],
                 )
 
     return stage
 
 
+def _units(table: pa.Table, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(table["unit"].to_pylist()), dtype=np.float32).reshape(-1, dim)
+
+
+def _fit(cell: int, most: int):
+    """Grouped Arrow stage: up to ``most`` centres, one for ``cell`` vectors, of the sampled vectors of one model or one cell; the column wanted says how many vectors there are in all."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        dim, n = table["dim"][0].as_py(), table["wanted"][0].as_py()
+        # The order in which rows arrive mustn't matter.
+        x = np.unique(_normalised(table["vector"], dim) if "vector" in table.column_names else _units(table, dim).astype(np.float64), axis=0)
+        centres = fit_centres(x, int(max(1, min(most, -(-n // cell), max(1, len(x) // 8)))))
+        return pa.table({c: table[c].slice(0, 1) for c in ("model", "dim", "cell")} | {"centres": pa.array([centres.tobytes()], pa.binary())})
+
+    return fit
+
+
+def _split(most: int):
+    """Cogrouped Arrow stage: a chunk of a large cell's rows with the cells that the cell is split into. A vector is stored in one; queries visit the nearest few."""
+
+    def split(placed: pa.Table, fitted: pa.Table) -> pa.Table:
+        if not placed.num_rows or not fitted.num_rows:
+            return placed.drop_columns(["chunk"])
+        dim = placed["dim"][0].as_py()
+        centres = np.frombuffer(fitted["centres"][0].as_py(), dtype=np.float32).reshape(-1, dim)
+        rows, cells, nearest = _visits(_units(placed, dim), centres)
+        out = placed.drop_columns(["chunk"]).take(pa.array(rows))
+        cell = pa.array((placed["cell"][0].as_py() + 1) * (most + 1) + cells)
+        own = pa.array(np.asarray(placed["own"])[rows] & nearest)
+        return out.set_column(out.column_names.index("cell"), "cell", cell).set_column(out.column_names.index("own"), "own", own)
+
+    return split
+
+
 def _cell_search(k: int):
     """Grouped Arrow stage: builds a cell's graph and answers the cell's queries."""
 
@@ -285,7 +321,7 @@ def _cell_search(k: int):
         dim = table["dim"][0].as_py()
         ids = np.asarray(table["id"])
         role = np.asarray(table["role"])  # 1: stored here, 2: query, 3: both
-        x = np.frombuffer(b"".join(table["unit"].to_pylist()), dtype=np.float32).reshape(-1, dim)
+        x = _units(table, dim)
         # Smaller ids first, so ties keep them; equal rows are one.
         order = np.argsort(ids, kind="stable")
         ids, role, x = ids[order], role[order], x[order]
@@ -387,35 +423,78 @@ def nearest(df: DataFrame, k: int = 5, key: str = "symbol_id", model: str = "mod
     return flat.select("id", *group, "x.other", (-F.col("x.c")).alias("cosine"), (F.col("at") + 1).alias("rank"))
 
 
+def _sampled(rows: DataFrame, share, salt: int) -> DataFrame:
+    """A share of rows drawn by the hash of their id."""
+    return rows.filter(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0 < share)
+
+
+def search_groups(reps: DataFrame, good: DataFrame, sizes: dict[tuple[str, int], int], kind: str) -> DataFrame:
+    """(id, model, dim, cell, part, chunk, role, unit): what each task of the search gets; role 1: stored there, 2: query, 3: both.
+
+    A group of equal cell, part and chunk has about ``MAX_CELL`` stored rows and ``MAX_QUERIES`` queries at most.
+    """
+    group = ["model", "dim"]
+    # Each model's bounded sample is fitted where it lies; only the centres come to the driver, a tenth of the samples in number at most.
+    scale = min(1.0, ALL_SAMPLES / sum(min(n, SAMPLE) for n in sizes.values()))
+    facts = {f"{m}\x00{d}": (scale * min(1.0, SAMPLE / n), n) for (m, d), n in sizes.items()}
+    name = F.concat_ws("\x00", "model", F.col("dim").cast("string"))
+    share = F.create_map(*[x for k, (v, _) in facts.items() for x in (F.lit(k), F.lit(v))])[name]
+    wanted = F.create_map(*[x for k, (_, n) in facts.items() for x in (F.lit(k), F.lit(int(n)))])[name]
+    drawn = _sampled(good.withColumn("cell", F.lit(0).cast("long")).withColumn("wanted", wanted), share, SEED)
+    fitted_as = "model string, dim int, cell long, centres binary"
+    fitted = drawn.groupBy(*group, "cell").applyInArrow(_fit(CELL, MAX_CENTRES), fitted_as).select(*group, "centres").collect()
+    centres = {(r["model"], r["dim"]): np.frombuffer(bytes(r["centres"]), dtype=np.float32).reshape(-1, r["dim"]) for r in fitted}
+    for m, d in sizes:  # a model of which no row was drawn is one cell
+        centres.setdefault((m, d), np.eye(1, d, dtype=np.float32))
+    schema = f"id {kind}, model string, dim int, cell long, own boolean, unit binary"
+    # Counted over all rows, copies included: a bound. There are at most MAX_CENTRES cells a model.
+    crowd = good.mapInArrow(_assign(centres, count=True), "model string, dim int, cell long, n long, visits long").groupBy(*group, "cell").agg(F.sum("n").alias("n"), F.sum("visits").alias("visits"))
+    hot = (F.col("n") > MAX_CELL) | (F.col("visits") > MAX_QUERIES)
+    placed = reps.mapInArrow(_assign(centres), schema)
+    if not crowd.filter(hot).limit(1).count():
+        return placed.select("id", *group, "cell", F.lit(0).alias("part"), F.lit(0).alias("chunk"), F.when(F.col("own"), 3).otherwise(2).alias("role"), "unit")
+    placed = written(placed)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*group, "cell").agg(F.sum(F.col("own").cast("long")).alias("n"), F.count(F.lit(1)).alias("visits"))
+
+    done, counts = None, counted(placed)
+    for level in range(LEVELS):
+        large = cut_lineage(counts.filter(F.col("n") > MAX_CELL))
+        if not large.limit(1).count():
+            break
+        rows = placed.join(large, [*group, "cell"])
+        drawn = _sampled(rows.filter("own").withColumn("wanted", F.col("n")), F.lit(float(SAMPLE)) / F.col("n"), SEED + level + 1)
+        fitted = cut_lineage(drawn.select("id", *group, "cell", "wanted", "unit").groupBy(*group, "cell").applyInArrow(_fit(CELL, MAX_CENTRES), fitted_as))
+        chunks = F.ceil(F.col("visits") / MAX_QUERIES).cast("int")
+        left = rows.select("id", *group, "cell", "own", "unit", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"))
+        right = fitted.join(large, [*group, "cell"]).select(*group, "cell", "centres", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        keys = [*group, "cell", "chunk"]
+        split = written(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_split(MAX_CENTRES), schema))
+        small = placed.join(large.select(*group, "cell"), [*group, "cell"], "left_anti")
+        done = small if done is None else done.unionByName(small)
+        placed, counts = split, counted(split)
+    placed = placed if done is None else done.unionByName(placed)
+    # What is still too large is cut at random: stored rows into parts, queries into chunks.
+    rows = placed.join(counted(placed).filter(hot), [*group, "cell"], "left")
+    n_parts, n_chunks = (F.coalesce(F.ceil(F.col(c) / size), F.lit(1)).cast("int") for c, size in (("n", MAX_CELL), ("visits", MAX_QUERIES)))
+    n_parts = F.greatest(n_parts, F.lit(1))
+    home, mine = F.pmod(F.xxhash64("id"), n_parts).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), n_chunks).cast("int")
+
+    def places(n, place) -> list:
+        return F.transform(F.sequence(F.lit(0), n - 1), place)
+
+    asking = places(n_parts, lambda p: F.struct(p.alias("part"), mine.alias("chunk")))
+    stored = F.when(F.col("own"), places(n_chunks, lambda c: F.struct(home.alias("part"), c.alias("chunk")))).otherwise(F.array().cast("array<struct<part:int,chunk:int>>"))
+    spread = rows.select("id", *group, "cell", "own", "unit", home.alias("home"), mine.alias("mine"), F.explode(F.array_union(asking, stored)).alias("x")).select("id", *group, "cell", "x.*", "own", "home", "mine", "unit")
+    role = F.when(F.col("own") & (F.col("part") == F.col("home")), 1).otherwise(0) + F.when(F.col("chunk") == F.col("mine"), 2).otherwise(0)
+    return spread.select("id", *group, "cell", "part", "chunk", role.alias("role"), "unit")
+
+
 def _class_pairs(reps: DataFrame, good: DataFrame, sizes: dict[tuple[str, int], int], kind: str, k: int) -> DataFrame:
     """(id, model, dim, other, cosine): what the cells' graphs find among vectors of which no two are copies."""
-    # Each model's bounded sample, drawn by the hash of the id: at most about SAMPLE rows of each come to the driver.
-    share = F.create_map(*[x for (m, d), n in sizes.items() for x in (F.lit(f"{m}\x00{d}"), F.lit(min(1.0, SAMPLE / n)))])
-    draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003.0
-    sampled = good.filter(draw < share[F.concat_ws("\x00", "model", F.col("dim").cast("string"))]).select("model", "dim", "vector").toArrow()
-    centres = {}
-    models, dims = np.asarray(sampled["model"].to_pylist(), dtype=object), np.asarray(sampled["dim"])
-    for (m, d), n in sizes.items():
-        at = np.flatnonzero((models == m) & (dims == d))
-        if not len(at):
-            centres[(m, d)] = np.eye(1, d, dtype=np.float32)
-            continue
-        x = np.unique(_normalised(sampled.take(pa.array(at))["vector"], d), axis=0)
-        centres[(m, d)] = fit_centres(x, int(max(1, min(MAX_CENTRES, -(-n // CELL), max(1, len(x) // 8)))))
-    schema = f"id {kind}, model string, dim int, cell int, own boolean, unit binary"
-    # Hot cells are split: a stored row goes to one part, a query to every part. Counted over all rows, copies included: a bound.
-    crowd = good.mapInArrow(_assign(centres, count=True), "model string, dim int, cell int, n long").groupBy("model", "dim", "cell").agg(F.sum("n").alias("n"))
-    parts = {(r["model"], r["dim"], r["cell"]): -(-r["n"] // MAX_CELL) for r in crowd.filter(F.col("n") > MAX_CELL).collect()}  # at most MAX_CENTRES rows a model
-    one = F.lit(1)
-    n_parts = one
-    if parts:
-        lookup = F.create_map(*[x for (m, d, c), n in parts.items() for x in (F.lit(f"{m}\x00{d}\x00{c}"), F.lit(int(n)))])
-        n_parts = F.coalesce(lookup[F.concat_ws("\x00", "model", F.col("dim").cast("string"), F.col("cell").cast("string"))], one)
-    placed = reps.mapInArrow(_assign(centres), schema)
-    home = F.pmod(F.xxhash64("id"), n_parts)
-    spread = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), n_parts.cast("long") - 1)))
-    spread = spread.withColumn("role", F.when(F.col("own") & (F.col("part") == home), 3).otherwise(2).cast("int"))
-    return spread.groupBy("model", "dim", "cell", "part").applyInArrow(_cell_search(k), f"id {kind}, model string, dim int, other {kind}, cosine double")
+    spread = search_groups(reps, good, sizes, kind)
+    return spread.groupBy("model", "dim", "cell", "part", "chunk").applyInArrow(_cell_search(k), f"id {kind}, model string, dim int, other {kind}, cosine double")
 
 
 def similar_pairs(df: DataFrame, k: int = 5, min_cosine: float = 0.85, **columns) -> DataFrame:

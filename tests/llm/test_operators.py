@@ -314,6 +314,24 @@ def test_hot_cell_is_split(spark, monkeypatch):
     assert len(got & want) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("n", [2000])
+def test_groups_stay_bounded(spark, monkeypatch, n):
+    for name, value in (("MAX_CENTRES", 4), ("CELL", 100), ("MAX_CELL", 200), ("MAX_QUERIES", 500)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(6)
+    # A third hardly differs, so no centres can spread it.
+    noise = np.where(np.arange(n)[:, None] % 3 == 0, 0.02, 1.0)
+    vectors = {i: v for i, v in enumerate((np.ones(8) + noise * rng.normal(size=(n, 8))).astype(np.float32))}
+    df = spark.createDataFrame([(i, "m", 8, [float(x) for x in v], 0) for i, v in vectors.items()], VECTORS)
+    good = neighbours.usable(df, "symbol_id", "model", "dim", "vector")
+    groups = neighbours.search_groups(good, good, {("m", 8): n}, "bigint")
+    sizes = groups.groupBy("model", "dim", "cell", "part", "chunk").agg(F.sum((F.col("role") != 2).cast("int")).alias("stored"), F.sum((F.col("role") != 1).cast("int")).alias("asking")).agg(F.max("stored"), F.max("asking")).first()
+    assert sizes[0] <= 1.4 * 200 and sizes[1] <= 1.4 * 500
+    assert groups.filter("role <> 2").select("id").distinct().count() == n and groups.filter("role <> 1").select("id").distinct().count() == n
+    got, want = set(map(tuple, neighbours.similar_pairs(df).collect())), brute_pairs(vectors, 5, 0.85)
+    assert len(got & want) >= 0.9 * len(want)
+
+
 # Credentials ------------------------------------------------------------------------------------
 
 SECRETS = [

@@ -121,14 +121,14 @@ def _aligned(doc: list[str], item: list[str], p: int, q: int) -> list[tuple[int,
                 chain.append((i, j))
                 i, j, pending = i + step, j + step, 0
                 continue
-            # Two equal words must follow; for a single one, see _ends.
+            # Two equal words must follow, or behind a replaced word one, another replaced word and two more; for a single one, see _ends.
             jump = None
             for a, b in _JUMPS:
                 x, y = i + step * a, j + step * b
-                x2, y2 = x + step, y + step
-                if 0 <= x < len(doc) and 0 <= y < len(item) and doc[x] == item[y] and (
-                    not (0 <= x2 < len(doc) and 0 <= y2 < len(item)) or doc[x2] == item[y2]
-                ):
+                if not (0 <= x < len(doc) and 0 <= y < len(item) and doc[x] == item[y]):
+                    continue
+                ahead = [not (0 <= x + d < len(doc) and 0 <= y + d < len(item)) or doc[x + d] == item[y + d] for d in (step, 2 * step, 3 * step)]
+                if ahead[0] or (a == b == 1 and ahead[1] and ahead[2]):
                     jump = (x, y, max(a, b))
                     break
             if jump is None or pending + jump[2] > MAX_GAP + 1:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.binding import let
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -127,12 +127,86 @@ def bm25_query(frequencies: DataFrame, terms: Sequence[str], key: str = "file_id
     return ranked(scored, key, top_k)
 
 
-def ranked(scored: DataFrame, key: str, top_k: int | None = None) -> DataFrame:
-    """(key, score, rank): rank from 0 by falling score, then by key. With ``top_k`` only so many rows are sorted at all."""
-    rows = scored.select(key, "score")
-    if top_k is not None:
-        rows = rows.orderBy(F.desc("score"), key).limit(top_k)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long") - 1)
+def ranked(scored: DataFrame, key: str, top_k: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, score, rank, keep): rank from 0 by falling score, then by key. With ``top_k`` only so many rows are sorted at all."""
+    rows = scored.select(key, "score", *keep)
+    order = [F.desc("score"), F.col(key)]
+    if top_k is None:
+        return numbered(rows, order)
+    rows = rows.orderBy(*order).limit(top_k)
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their place in ``order``, from 0, without one task that sees all of them.
+
+    They are sorted by ranges and written with their place in the partition; the partitions' sizes, one row each, give the offsets.
+    """
+    within = F.monotonically_increasing_id()
+    placed = written(rows.orderBy(*order).select("*", F.shiftright(within, 33).cast("int").alias("__part"), within.bitwiseAND((1 << 33) - 1).alias("__at")))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
+    offsets = sizes.select("__part", before.alias("__before"))  # a row a partition
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__before")
+
+
+#: Groups of tokens that a stored index is split into.
+INDEX_GROUPS = 64
+
+
+def save_index(postings: DataFrame, path: str, key: str = "file_id") -> None:
+    """Writes postings (key, token, tf), the documents' lengths and the corpus statistics below ``path``, replacing what is there.
+
+    The postings lie in folders by a hash of the token, sorted by token, so a query reads its tokens' row groups only.
+    """
+    group = F.pmod(F.xxhash64("token"), F.lit(INDEX_GROUPS)).cast("int")
+    postings.withColumn("token_group", group).repartition(INDEX_GROUPS, "token_group").sortWithinPartitions("token_group", "token").write.mode("overwrite").partitionBy("token_group").parquet(f"{path}/postings")
+    lengths = postings.groupBy(key).agg(F.sum("tf").alias("dl"))
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    stored = postings.sparkSession.read.parquet(f"{path}/lengths")
+    stored.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def bm25_stored(spark, path: str, terms: Sequence[str], key: str = "file_id", top_k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25`` over an index written by ``save_index``: only the terms' groups of postings are read, and nothing is tokenised."""
+    import xxhash
+
+    wanted = list(dict.fromkeys(terms))
+
+    def group(t: str) -> int:
+        h = xxhash.xxh64_intdigest(t.encode(), seed=42)  # the seed of xxhash64 in SQL
+        return (h - (1 << 64) if h >> 63 else h) % INDEX_GROUPS
+
+    own = spark.read.parquet(f"{path}/postings").filter(F.col("token_group").isin(sorted({group(t) for t in wanted})) & F.col("token").isin(wanted))
+    df = own.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    stats, lengths = spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/lengths")
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    # The terms' frequencies have a row a term, the statistics one row.
+    scored = own.join(F.broadcast(df), "token").join(lengths, key).crossJoin(F.broadcast(stats)).groupBy(key).agg(F.round(F.sum(idf * norm), 6).alias("score")).filter("score > 0")
+    return ranked(scored, key, top_k)
+
+
+def index_version(files: DataFrame) -> str:
+    """A digest of the files' digests, whatever their order: an index built for one version is valid until it changes."""
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("file_id", "sha256")).alias("x"), F.sum(F.pmod(F.xxhash64("sha256", "file_id"), F.lit(1 << 31))).alias("s")).first()
+    return f"{row['n']}-{(row['x'] or 0) & ((1 << 64) - 1):016x}-{row['s'] or 0:x}"
+
+
+def current_index(files: DataFrame, symbols: DataFrame, folder: str) -> str:
+    """The path of a stored index of these files, built only if ``folder`` doesn't have this version: an edit invalidates it."""
+    spark = files.sparkSession
+    path = f"{folder}/{index_version(files)}"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")):
+        save_index(file_postings(files, symbols), path)
+    return path
+
+
+def recent_files(actions: DataFrame, files: DataFrame, now: float | DataFrame, limit: int = 50) -> DataFrame:
+    """(file_id, score, rank): ``recency`` of targets that are paths of known files; others are dropped."""
+    known = recency(actions, now, limit).join(files.select("file_id", F.col("path").alias("target")), "target")
+    return ranked(known.select("file_id", "score"), "file_id", limit)
 
 
 def naive_grep(docs: DataFrame, terms: Sequence[str], key: str, text: str) -> DataFrame:
@@ -149,15 +223,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping:
 
     ``nodes`` has id, ``edges`` has src and dst; ``restart`` (id, mass) personalises, uniform if it is
     empty or sums to 0. Nodes without edges spread their mass evenly. The adjacency is aggregated and
-    checkpointed once; each round is one join and one aggregate on the same key, cut by a checkpoint.
+    kept once; each round is one join with it and one aggregate, both by node, and writes a row of numbers per node.
     """
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     weights = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
-    share = weights.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share")
-    share = cut_lineage(share)
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pr"))
+    # Kept by source in memory, or on the executors' disks; what is lost with an executor is computed again.
+    share = weights.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share").persist()
     base = nodes.select("id", F.lit(1.0 / n).alias("v"))
     if restart is not None:
         mass = restart.groupBy("id").agg(F.sum("mass").alias("mass"))
@@ -165,47 +239,50 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping:
         total = joined.agg(F.sum("mass").alias("t"))
         base = joined.crossJoin(F.broadcast(total)).select("id", F.when(F.col("t") > 0, F.col("mass") / F.col("t")).otherwise(1.0 / n).alias("v"))
     linked = share.select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
-    base = cut_lineage(base.join(linked, "id", "left").select("id", "v", F.coalesce("linked", F.lit(False)).alias("linked")))
-    rank = base.select("id", F.col("v").alias("pr"))
+    rank = written(base.join(linked, "id", "left").select("id", "v", F.coalesce("linked", F.lit(False)).alias("linked"), F.col("v").alias("pr")))
     for _ in range(iterations):
-        incoming = share.join(rank, share["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("pr") * F.col("share")).alias("inflow"))
-        current = base.join(rank, "id")
-        lost = current.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("pr"))), F.lit(0.0)).alias("lost"))
-        moved = base.join(incoming, base["id"] == incoming["dst"], "left").crossJoin(F.broadcast(lost))
-        rank = cut_lineage(moved.select("id", ((1 - damping) * F.col("v") + damping * (F.coalesce("inflow", F.lit(0.0)) + F.col("lost") / n)).alias("pr")))
-    return rank
+        incoming = share.join(rank.select("id", "pr"), share["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("pr") * F.col("share")).alias("inflow"))
+        # The mass of nodes without edges, from the same rows: no join of its own.
+        lost = rank.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("pr"))), F.lit(0.0)).alias("lost"))
+        moved = rank.join(incoming, rank["id"] == incoming["dst"], "left").crossJoin(F.broadcast(lost))
+        rank = written(moved.select("id", "v", "linked", ((1 - damping) * F.col("v") + damping * (F.coalesce("inflow", F.lit(0.0)) + F.col("lost") / n)).alias("pr")))
+    share.unpersist()
+    return rank.select("id", "pr")
 
 
-def recency(actions: DataFrame, now: float, limit: int = 50) -> DataFrame:
-    """(target, score): the latest ``limit`` targets, each with its number of actions (twice if one was an edit) over 1 + hours since the last.
+def recency(actions: DataFrame, now: float | DataFrame, limit: int = 50) -> DataFrame:
+    """(target, score, actions): the latest ``limit`` targets, each with its number of actions (twice if one was an edit) over 1 + hours since the last.
 
-    ``actions`` has target, action and ts (epoch seconds).
+    ``actions`` has target, action and ts (epoch seconds); ``now`` is a time or one row (now). The kinds of actions come sorted in one string.
     """
-    seen = actions.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.max((F.col("action") == "edit").cast("int")).alias("edited"))
+    clock = now if isinstance(now, DataFrame) else actions.sparkSession.range(1).select(F.lit(float(now)).alias("now"))
+    seen = actions.groupBy("target").agg(
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.max((F.col("action") == "edit").cast("int")).alias("edited"), F.array_join(F.array_sort(F.collect_set("action")), ",").alias("actions")
+    )
     latest = seen.orderBy(F.desc("last"), "target").limit(limit)
     weight = F.col("n") * F.when(F.col("edited") == 1, 2).otherwise(1)
-    return latest.select("target", F.round(weight / (1 + (F.lit(now) - F.col("last")) / 3600), 6).alias("score"))
+    return latest.crossJoin(F.broadcast(clock)).select("target", F.round(weight / (1 + (F.col("now") - F.col("last")) / 3600), 6).alias("score"), "actions")
 
 
 def fuse(signals: Mapping[str, DataFrame], key: str = "file_id", weights: Mapping[str, float] | None = None, top_k: int | None = 20) -> DataFrame:
-    """Reciprocal rank fusion: (key, rrf_score, <signal>_rank, ..., rank).
+    """Reciprocal rank fusion: (key, rrf_score, <signal>_rank, <signal>_score, ..., rank).
 
-    ``signals``: ranked lists with key and rank. One shuffle: the lists are tagged, united and
+    ``signals``: ranked lists with key, rank and possibly score. One shuffle: the lists are tagged, united and
     pivoted by one aggregate; no chain of outer joins.
     """
     weights = weights or {}
     tagged = None
     for name, df in signals.items():
-        one = df.select(key, F.lit(name).alias("signal"), F.col("rank").cast("long").alias("rank"), F.lit(float(weights.get(name, 1.0))).alias("weight"))
+        score = F.col("score").cast("double") if "score" in df.columns else F.lit(None).cast("double")
+        one = df.select(key, F.lit(name).alias("signal"), F.col("rank").cast("long").alias("rank"), score.alias("score"), F.lit(float(weights.get(name, 1.0))).alias("weight"))
         tagged = one if tagged is None else tagged.unionByName(one)
     term = F.col("weight") / (RRF_K + F.col("rank"))
-    fused = tagged.groupBy(key).agg(
-        F.round(F.sum(term), 9).alias("rrf_score"), *[F.max(F.when(F.col("signal") == name, F.col("rank"))).alias(f"{name}_rank") for name in signals]
-    )
+    own = [F.max(F.when(F.col("signal") == name, F.col(c))).alias(f"{name}_{c}") for name in signals for c in ("rank", "score")]
+    fused = tagged.groupBy(key).agg(F.round(F.sum(term), 9).alias("rrf_score"), *own)
     order = [F.desc("rrf_score"), F.col(key)]
-    if top_k is not None:
-        fused = fused.orderBy(*order).limit(top_k)
-    return fused.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    if top_k is None:
+        return numbered(fused, order)
+    return fused.orderBy(*order).limit(top_k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
 
 
 def confidence(fused: DataFrame) -> DataFrame:

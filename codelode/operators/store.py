@@ -60,11 +60,20 @@ def merge_notes(target: DataFrame, source: DataFrame, strategy: str = "newer_win
     return joined.select(*keys, F.when(F.col("in_t").isNull(), F.col("s_exp")).otherwise(merged).alias("expires_at"), F.coalesce("t_rest", "s_rest").alias("r")).select(*keys, "expires_at", "r.*").select(*target.columns)
 
 
-def active_notes(notes: DataFrame, now: float, kind: str | None = None) -> DataFrame:
-    """Unexpired notes, locked ones first, then the latest."""
-    live = notes.filter(F.col("expires_at") > now)
+def unexpired(notes: DataFrame, now: float | DataFrame) -> DataFrame:
+    """Notes that expire after ``now``, a time or one row (now)."""
+    if not isinstance(now, DataFrame):
+        return notes.filter(F.col("expires_at") > now)
+    return notes.crossJoin(F.broadcast(now.select(F.col("now").alias("__now")))).filter("expires_at > __now").drop("__now")
+
+
+def active_notes(notes: DataFrame, now: float | DataFrame, kind: str | None = None, tag: str | None = None, limit: int | None = None) -> DataFrame:
+    """Unexpired notes, locked ones first, then the latest; possibly of one kind, with a tag, at most ``limit``."""
+    live = unexpired(notes, now)
     live = live.filter(F.col("type") == kind) if kind else live
-    return live.orderBy(F.desc((F.col("type") == "locked").cast("int")), F.desc("created_at"), "content")
+    live = live.filter(F.col("tags").ilike(f"%{tag}%")) if tag else live
+    live = live.orderBy(F.desc((F.col("type") == "locked").cast("int")), F.desc("created_at"), "content")
+    return live if limit is None else live.limit(limit)
 
 
 def note(content: Column, kind: Column, now: float) -> Column:

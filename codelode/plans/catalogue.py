@@ -191,8 +191,7 @@ RECENCY = f"""{ACTIONS}, mx AS (SELECT max(ts) m FROM a), x AS (SELECT target, c
 
 def recent_targets(spark, d):
     a = actions(spark, d).filter("target IS NOT NULL")
-    now = a.agg(F.max("ts").alias("m")).first()["m"]
-    return rank.recency(a, now)
+    return rank.recency(a, a.agg(F.max("ts").alias("now")))
 
 
 @query(f"WITH {RECENCY} SELECT target, score, row_number() OVER (ORDER BY score DESC, target) - 1 AS rank FROM rc")
@@ -561,8 +560,7 @@ _merge("skip_existing", "coalesce(t.expires_at, n.expires_at)")
 def ttl_active(spark, d):
     """Notes that haven't expired a day before the last expiry."""
     n = notes(spark, d)[1]
-    last = n.agg(F.max("expires_at").alias("m"))
-    return n.crossJoin(F.broadcast(last)).filter("expires_at > m - 86400").drop("m")
+    return store.unexpired(n, n.agg((F.max("expires_at") - 86_400).alias("now")))
 
 
 @query(

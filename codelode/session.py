@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,6 +22,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
@@ -30,14 +33,20 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in tests, a
-    folder of this machine is chosen.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and the session is local, as in tests, a
+    folder of this machine is chosen, and removed when the process ends. A cluster without the setting is an error: its
+    executors don't share a machine's folder.
     """
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codelode-checkpoint-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="codelode-checkpoint-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -62,6 +71,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Removes the tables and checkpoints of this session's finished queries. Results that weren't consumed yet would lose their rows."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        if status.getPath().getName() == "tables" or status.getPath().getName().startswith("rdd-"):
+            fs.delete(status.getPath(), True)
+
+
 _shipped: set[str] = set()
 
 

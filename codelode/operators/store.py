@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,3 +114,49 @@ def resolve_symbol(symbols: DataFrame, name: str) -> DataFrame:
     """(file_id, symbol_id): in each file the first symbol of that name or whose qualified name ends with it."""
     hits = symbols.filter((F.col("name") == name) | F.col("qualified").endswith("." + name))
     return hits.groupBy("file_id").agg(F.min(F.struct("line_start", "symbol_id")).alias("m")).select("file_id", F.col("m.symbol_id").alias("symbol_id"))
+
+
+def symbols_of_file(symbols: DataFrame, file_id: int) -> DataFrame:
+    """A file's symbols by line."""
+    return symbols.filter(F.col("file_id") == file_id).orderBy("line_start", "symbol_id")
+
+
+def tags_of_file(tags: DataFrame, file_id: int) -> DataFrame:
+    """(tag): a file's tags, sorted, each once."""
+    return tags.filter(F.col("file_id") == file_id).select("tag").distinct().orderBy("tag")
+
+
+def add_if_new(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The target's rows and the source's rows of new keys, one per key (the smallest); rows that are there stay as they are."""
+    rest = [c for c in target.columns if c not in keys]
+    fresh = source.join(target.select(*keys).distinct(), list(keys), "left_anti")
+    one = fresh.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest]) if rest else fresh.select(*keys).distinct()
+    return target.unionByName(one.select(*target.columns))
+
+
+def latest_scan(scans: DataFrame) -> DataFrame:
+    """The last completed scan, one row; of equal times the one that started later."""
+    return scans.orderBy(F.desc("completed_at"), F.desc("started_at")).limit(1)
+
+
+def statistics(files: DataFrame, symbols: DataFrame, edges: DataFrame, tags: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """(section, name, n): the size of the index as one table: totals, files per language and tag, symbols and edges per kind, the last scan."""
+
+    def counted(section: str, df: DataFrame, name: Column) -> DataFrame:
+        return df.groupBy(F.coalesce(name, F.lit("unknown")).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(section).alias("section"), "name", "n")
+
+    def total(name: str, df: DataFrame, value: Column) -> DataFrame:
+        return df.agg(F.coalesce(value, F.lit(0)).cast("long").alias("n")).select(F.lit("total").alias("section"), F.lit(name).alias("name"), "n")
+
+    parts = [
+        total("files", files, F.count(F.lit(1))), total("lines", files, F.sum("line_count")), total("bytes", files, F.sum("byte_size")), total("symbols", symbols, F.count(F.lit(1))), total("edges", edges, F.count(F.lit(1))),
+        counted("language", files, F.lower(F.trim("language"))), counted("symbol", symbols, F.lower(F.trim("kind"))), counted("edge", edges, F.col("kind")), counted("tag", tags, F.col("tag")),
+    ]
+    if scans is not None:
+        parts.append(latest_scan(scans).select(F.lit("scan").alias("section"), F.lit("files_changed").alias("name"), F.col("files_changed").cast("long").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def store_vectors(vectors: DataFrame, path: str) -> None:
+    """Writes vectors (symbol_id, file_id, model, dim, vector), a folder per model; a model's vectors are replaced, other models stay."""
+    vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)

@@ -82,6 +82,32 @@ def safe_path(root: str, path: str) -> str:
     return str(PurePosixPath(root, *parts))
 
 
+#: Folders that are no project whatever they hold: by their own name, and by names in a row anywhere on the path.
+NO_ROOT_NAMES = frozenset(("node_modules", "site-packages", "dist-packages", "__pycache__", ".git", ".venv", "venv"))
+SYSTEM_PATHS = (("usr", "lib"), ("usr", "bin"), ("etc",), ("proc",), ("sys",), ("windows", "system32"), ("program files",), ("appdata", "local"))
+
+
+def check_root(root: str, home: str) -> str:
+    """``root`` if it can be a project's; raises ValueError for the home folder and what lies above it, package folders and system folders."""
+    path, top = PurePosixPath(root), PurePosixPath(home)
+    parts = [p.lower() for p in path.parts if p != "/"]
+    if not parts or path == top or path in top.parents:
+        raise ValueError(f"{root} is no project: it holds home folders")
+    if path.name in NO_ROOT_NAMES:
+        raise ValueError(f"{root} is a folder of packages")
+    for names in SYSTEM_PATHS:
+        places = range(len(parts) - len(names) + 1) if len(names) > 1 or names[0] not in ("etc", "proc", "sys") else range(min(1, len(parts)))
+        if any(tuple(parts[i : i + len(names)]) == names for i in places):
+            raise ValueError(f"{root} lies in a system folder")
+    return root
+
+
+def known_languages(configured: Sequence[str], registered: Sequence[str] = ()) -> list[str]:
+    """The languages to index: those of the configuration that are known, and those that extensions registered; all known ones if none is configured."""
+    known = set(LANGUAGES.values()) | set(registered)
+    return sorted((set(configured) & known if configured else known) | set(registered))
+
+
 def scan(spark: SparkSession, root: str, patterns: Sequence[str] = IGNORED, extensions: Sequence[str] | None = None, max_files: int | None = None) -> DataFrame:
     """(path, sha256, language, line_count, byte_size, source_text) of the files below ``root``.
 

@@ -97,7 +97,7 @@ def test_logs(spark):
     e = spark.createDataFrame([(1, "u", 0.0), (2, "u", 4.0), (3, "u", 9.0)], "event_id long, u string, ts double")
     assert rows(logs.debounced(e, "u"), "event_id") == [(1,), (3,)]
     s = spark.createDataFrame([("a", 100.0, "f"), ("b", 90.0, "f"), ("c", -9999.0, "f"), ("a", 100.0, "g")], "session_id string, last_seen double, file_path string")
-    assert rows(logs.session_conflicts(s, 100.0), "session_id", "other_id", "files") == [("a", "b", "f"), ("b", "a", "f")]
+    assert rows(logs.session_conflicts(s, s, 100.0), "session_id", "other_id", "files") == [("a", "b", "f"), ("b", "a", "f")]
     b = spark.createDataFrame([("s", 1.0, 1, 400), ("s", 2.0, 2, 40)], "session_id string, ts double, call_id long, n_chars int")
     assert rows(logs.token_budget(b, 100), "call_id", "used", "state") == [(1, 100, "warn"), (2, 110, "over")]
     acc = spark.createDataFrame([(1, "x"), (1, "y")], "query_id long, target string")

@@ -62,13 +62,17 @@ SOURCES = {
     "rust": ("use std::fs;\n/// Adds.\npub fn add(a: i32) -> i32 {\n    a\n}\nstruct P { x: i32 }\nimpl P {\n    fn new() -> P { P { x: 1 } }\n}\n", {("m::add", "function"), ("m::P", "class"), ("m::P::new", "method")}),
     "typescript": ("import { a, b } from './x';\n/** Doc */\nexport class K {\n  run(x: number): void {\n    if (x) { go(); }\n  }\n}\nexport const f = (x) => x;\ninterface I { a: string }\nfunction g() {}\n", {("m.K", "class"), ("m.K.run", "method"), ("m.f", "function"), ("m.I", "class"), ("m.g", "function")}),
     "go": ('package x\nimport (\n\t"fmt"\n)\n// Does.\nfunc Do(a int) int {\n\treturn a\n}\ntype T struct {\n\ta int\n}\nfunc (t *T) run() {\n}\n', {("m.Do", "function"), ("m.T", "class"), ("m.T.run", "method")}),
-    "java": ("import a.b.C;\npublic class K {\n    private int x;\n    public K(int x) {\n        this.x = x;\n    }\n    protected String run(int a) {\n        return null;\n    }\n}\n", {("m.K", "class"), ("m.K.K", "method"), ("m.K.run", "method")}),
+    "java": ("import a.b.C;\npublic class K {\n    private int x;\n    public K(int x) {\n        this.x = x;\n    }\n    protected String run(int a) {\n        return null;\n    }\n}\n", {("m.K", "class"), ("m.K.x", "function"), ("m.K.K", "method"), ("m.K.run", "method")}),
     "c": ("#include <stdio.h>\nstruct P {\n    int x;\n};\nstatic int f(int a) {\n    return a;\n}\n", {("m.P", "class"), ("m.f", "function")}),
     "ruby": ("require 'set'\nclass A\n  def f(x)\n    x\n  end\nend\n", {("m::A", "class"), ("m::A::f", "method")}),
     "php": ("<?php\nuse A\\B;\nclass K {\n  private function f() { return 1; }\n}\nfunction g() {}\n", {("m\\K", "class"), ("m\\K\\f", "method"), ("m\\g", "function")}),
     "kotlin": ("import a.b\nclass K {\n  fun f(x: Int): Int { return x }\n}\nfun g() {}\n", {("m.K", "class"), ("m.K.f", "method"), ("m.g", "function")}),
     "swift": ("import Foo\nstruct K {\n  func f() {}\n}\nprotocol P {}\n", {("m.K", "class"), ("m.K.f", "method"), ("m.P", "class")}),
     "zig": ('const std = @import("std");\npub fn f() void {}\nconst P = struct {\n  x: i32,\n};\n', {("m.f", "function"), ("m.P", "class")}),
+    "rust modules": ("mod a;\npub mod b {\n    pub fn f() {}\n}\n", {("m::a", "module"), ("m::b", "module"), ("m::b::f", "method")}),
+    "c declarations": ("typedef unsigned long size;\nint f(int a);\nstatic void g(void) {\n    h(1);\n}\n", {("m.size", "class"), ("m.f", "function"), ("m.g", "function")}),
+    "php namespace": ("<?php\nnamespace A\\B;\nfunction g() {}\n", {("m\\A\\B", "module"), ("m\\g", "function")}),
+    "typescript fields": ("class K {\n  private size: number = 1;\n  run() {\n    return 1;\n  }\n}\n", {("m.K", "class"), ("m.K.size", "function"), ("m.K.run", "method")}),
     "solidity": ("contract C {\n  event E(uint a);\n  function f() public {}\n}\n", {("m.C", "class"), ("m.C.E", "method"), ("m.C.f", "method")}),
 }
 
@@ -76,6 +80,7 @@ SOURCES = {
 @pytest.mark.parametrize("language", SOURCES)
 def test_outline(language):
     text, want = SOURCES[language]
+    language = language.split()[0]
     o = outline.outline(text, language, f"d/m.{language}")
     assert {(s["qualified"], s["kind"]) for s in o.symbols} == want and not o.errors
 
@@ -90,3 +95,24 @@ def test_outline_details(spark):
     assert {r.file_id: r.errors for r in p.collect()}[2] == ["unsupported language: cobol"]
     assert outline.symbols_of(p).filter(F.col("name") == "g").count() == 1
     assert outline.parse(df.limit(0)).count() == 0
+
+
+def test_a_text_that_takes_too_long_is_an_error_row(spark, tmp_path):
+    (tmp_path / "slow.py").write_text("LANGUAGE = 'slow'\ndef extract(text, path):\n    while True: pass\n")
+    (tmp_path / "words.py").write_text("LANGUAGE = 'words'\ndef extract(text, path):\n    return [{'name': w, 'kind': 'function', 'extra': 1} for w in text.split()], []\n")
+    (tmp_path / "broken.py").write_text("def (")
+    (tmp_path / "nothing.py").write_text("LANGUAGE = 'x'\n")
+    extractors, skipped = outline.load_extractors(str(tmp_path))
+    assert sorted(extractors) == ["slow", "words"] and len(skipped) == 2
+    assert outline.outline_of("a b", "slow", "x", extractors, 0.2).errors == ["took longer than 0.2 seconds"]
+    df = spark.createDataFrame([(1, "a", "words", "f g"), (2, "b.py", "python", "def h():\n    pass\n")], "file_id long, path string, language string, source_text string")
+    out = {r.file_id: r for r in outline.parse(df, {"words": extractors["words"]}).collect()}
+    assert [s.name for s in out[1].symbols] == ["f", "g"] and [s.name for s in out[2].symbols] == ["h"]
+
+
+def test_roots_and_languages():
+    for bad in ("/home/me", "/home", "/", "/x/node_modules", "/usr/lib/a", "/etc/a"):
+        with pytest.raises(ValueError):
+            files.check_root(bad, "/home/me")
+    assert files.check_root("/home/me/project", "/home/me") == "/home/me/project" and files.check_root("/srv/etc/a", "/home/me")
+    assert files.known_languages(["python", "cobol"], ["words"]) == ["python", "words"] and "zig" in files.known_languages([])

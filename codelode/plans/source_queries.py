@@ -32,19 +32,26 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries written as JSON lines and read back."""
+    """Notes, actions and queries written as JSON lines and read back: what has expired or is too old is left out."""
     history = table(spark, sf_dir, "query_history").select("query_id", "query_text", "confidence", "session_id", "logged_at").distinct()
-    none = spark.createDataFrame([], "content string, expires_at double")
-    acts = spark.createDataFrame([], "target string, ts double")
-    lines = exchange.export_state(none, acts, history, 0.0)
-    return exchange.read_state(lines, "query", "query_id long, query_text string, confidence string, session_id string, logged_at double").select("query_id", "query_text", "confidence")
+    feedback = table(spark, sf_dir, "session_feedback").select(F.col("original_query").alias("content"), (F.col("logged_at") + 604_800).alias("expires_at")).distinct()
+    acts = table(spark, sf_dir, "session_feedback").select(F.col("session_id").alias("target"), F.col("logged_at").alias("ts")).distinct()
+    lines = exchange.export_state(feedback, acts, history, EXPORTED_AT)
+    queries = exchange.read_state(lines, "query", "query_id long, query_text string, logged_at double").select(F.lit("query").alias("kind"), F.col("query_text").alias("text"), F.round("logged_at", 3).alias("at"))
+    notes = exchange.read_state(lines, "decision", "content string, expires_at double").select(F.lit("decision").alias("kind"), F.col("content").alias("text"), F.round("expires_at", 3).alias("at"))
+    actions = exchange.read_state(lines, "action", "target string, ts double").select(F.lit("action").alias("kind"), F.col("target").alias("text"), F.round("ts", 3).alias("at"))
+    return queries.unionByName(notes).unionByName(actions)
 
 
+#: A time in the middle of the logs, so that each kind has rows on both sides of its cut.
+EXPORTED_AT = 1_767_225_600.0
 _EXTENSIONS = ", ".join(f"('{e}', '{language}')" for e, language in files.LANGUAGES.items())
 QUERIES = {f.__name__: f for f in (file_facts, parse_symbols, parse_imports, export_jsonl)}
 ORACLES = {
     "file_facts": f"""WITH {FILES}, m(e, language) AS (VALUES {_EXTENSIONS}), t AS (SELECT DISTINCT file_id, source_text FROM file_sources)
       SELECT file_id, sha256(source_text) AS sha256, CASE WHEN source_text = '' THEN 0 ELSE len(string_split(source_text, chr(10))) - CASE WHEN ends_with(source_text, chr(10)) THEN 1 ELSE 0 END END AS n_lines, m.language
       FROM t JOIN f USING (file_id) LEFT JOIN m ON e = lower(regexp_extract(path, '([.][^./]+)$', 1))""",
-    "export_jsonl": "SELECT DISTINCT query_id, query_text, confidence FROM query_history",
+    "export_jsonl": f"""SELECT 'query' AS kind, query_text AS text, round(logged_at, 3) AS "at" FROM (SELECT DISTINCT query_id, query_text, confidence, session_id, logged_at FROM query_history) WHERE logged_at > {EXPORTED_AT} - 2592000
+      UNION ALL SELECT 'decision', content, round(e, 3) FROM (SELECT DISTINCT original_query content, logged_at + 604800 e FROM session_feedback) WHERE e > {EXPORTED_AT}
+      UNION ALL SELECT 'action', session_id, round(logged_at, 3) FROM (SELECT DISTINCT session_id, logged_at FROM session_feedback) WHERE logged_at > {EXPORTED_AT} - 604800""",
 }

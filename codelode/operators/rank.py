@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,26 +220,61 @@ def naive_grep(docs: DataFrame, terms: Sequence[str], key: str, text: str) -> Da
     return docs.filter(hit).select(key, F.length(text).cast("long").alias("n_chars"))
 
 
+#: Nodes and links up to which PageRank's rounds run in one task, on arrays; a larger graph takes a join and an aggregate a round.
+ONE_TASK = 3_000_000
+
+
+def _power_iteration(iterations: int, damping: float):
+    """Grouped Arrow stage: all rounds of PageRank over rows (a, b, x): the share x of the link from a to b, or, where b is null, the restart mass x of node a."""
+
+    def run(table: pa.Table) -> pa.Table:
+        is_node = np.asarray(table["b"].is_null())
+        a, x = np.asarray(table["a"]), np.asarray(table["x"])
+        ids, restart = a[is_node], x[is_node]
+        order = np.argsort(ids)
+        ids, restart = ids[order], restart[order]
+        src, dst, share = a[~is_node], np.asarray(table["b"].filter(pa.array(~is_node)), dtype=np.int64), x[~is_node]
+        # A fixed order of the links, so that sums don't depend on how the rows arrived.
+        order = np.lexsort((src, dst))
+        src, dst, share = src[order], dst[order], share[order]
+        alone = ~np.isin(ids, src)
+        known = np.isin(src, ids) & np.isin(dst, ids)
+        src, dst, share = np.searchsorted(ids, src[known]), np.searchsorted(ids, dst[known]), share[known]
+        rank = restart.copy()
+        for _ in range(iterations):
+            inflow = np.bincount(dst, weights=rank[src] * share, minlength=len(ids))
+            rank = (1 - damping) * restart + damping * (inflow + rank[alone].sum() / len(ids))
+        return pa.table({"id": ids, "pr": rank})
+
+    return run
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10, damping: float = 0.85, restart: DataFrame | None = None) -> DataFrame:
     """(id, pr): PageRank on the undirected graph, parallel edges counted; a self-loop counts twice.
 
     ``nodes`` has id, ``edges`` has src and dst; ``restart`` (id, mass) personalises, uniform if it is
     empty or sums to 0. Nodes without edges spread their mass evenly. The adjacency is aggregated and
-    kept once; each round is one join with it and one aggregate, both by node, and writes a row of numbers per node.
+    kept once; each round is one join with it and one aggregate, both by node, and writes a row of numbers per node. A graph of at most ``ONE_TASK``
+    nodes and links is counted first and then ranked by one task. What goes to nodes that ``nodes`` doesn't have is lost; ids are integers.
     """
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     weights = both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("pr"))
-    # Kept by source in memory, or on the executors' disks; what is lost with an executor is computed again.
-    share = weights.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share").persist()
     base = nodes.select("id", F.lit(1.0 / n).alias("v"))
     if restart is not None:
         mass = restart.groupBy("id").agg(F.sum("mass").alias("mass"))
         joined = nodes.join(mass, "id", "left").select("id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
         total = joined.agg(F.sum("mass").alias("t"))
         base = joined.crossJoin(F.broadcast(total)).select("id", F.when(F.col("t") > 0, F.col("mass") / F.col("t")).otherwise(1.0 / n).alias("v"))
+    # Kept by source in memory, or on the executors' disks; what is lost with an executor is computed again.
+    share = weights.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share").persist()
+    if n + share.count() <= ONE_TASK:
+        rows = base.select(F.col("id").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.col("v").alias("x")).unionByName(share.select(F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), F.col("share").alias("x")))
+        rank = written(rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_power_iteration(iterations, damping), "id long, pr double"))
+        share.unpersist()
+        return rank.select(F.col("id").cast(dict(nodes.dtypes)["id"]).alias("id"), "pr")
     linked = share.select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
     rank = written(base.join(linked, "id", "left").select("id", "v", F.coalesce("linked", F.lit(False)).alias("linked"), F.col("v").alias("pr")))
     for _ in range(iterations):

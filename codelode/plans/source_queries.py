@@ -44,7 +44,7 @@ def export_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A time in the middle of the logs, so that each kind has rows on both sides of its cut.
-EXPORTED_AT = 1_767_225_600.0
+EXPORTED_AT = 1_745_500_000.0
 _EXTENSIONS = ", ".join(f"('{e}', '{language}')" for e, language in files.LANGUAGES.items())
 QUERIES = {f.__name__: f for f in (file_facts, parse_symbols, parse_imports, export_jsonl)}
 ORACLES = {

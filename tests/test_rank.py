@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
@@ -68,7 +69,9 @@ def power_iteration(nodes, edges, rounds, d=0.85, v=None):
     return r
 
 
-def test_pagerank(spark):
+@pytest.mark.parametrize("one_task", [rank.ONE_TASK, 0])
+def test_pagerank(spark, monkeypatch, one_task):
+    monkeypatch.setattr(rank, "ONE_TASK", one_task)
     nodes, edges = [1, 2, 3, 4, 5], [(1, 2), (1, 2), (2, 3), (3, 3), (4, 1)]
     got = {r.id: r.pr for r in rank.pagerank(spark.createDataFrame([(x,) for x in nodes], "id long"), spark.createDataFrame(edges, "src long, dst long"), 8).collect()}
     want = power_iteration(nodes, edges, 8)

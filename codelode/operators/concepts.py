@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CONCEPT_KINDS, CONCEPT_RELATIONS
+from .rank import numbered
 
 
 def folded(name: Column) -> Column:
@@ -19,8 +20,6 @@ def upsert_concepts(concepts: DataFrame, changes: DataFrame, now: float) -> Data
     Changes with an unknown kind, a blank name or a confidence outside 0 to 1 are left out; of several
     changes of one name the greatest counts. New ids follow the order of the folded names.
     """
-    from pyspark.sql import Window
-
     good = changes.filter(F.col("kind").isin(*CONCEPT_KINDS) & (F.trim("name") != "") & F.col("confidence").between(0.0, 1.0))
     fields = ["name", "kind", "summary", "body", "confidence"]
     latest = good.groupBy(folded(F.col("name")).alias("k")).agg(F.max(F.struct(*fields)).alias("c")).select("k", *[F.col(f"c.{f}").alias(f"n_{f}") for f in fields])
@@ -32,10 +31,10 @@ def upsert_concepts(concepts: DataFrame, changes: DataFrame, now: float) -> Data
     )
     fresh = latest.join(old.select("k"), "k", "left_anti")
     top = concepts.agg(F.coalesce(F.max("concept_id"), F.lit(0)).alias("top"))
-    numbered = fresh.crossJoin(F.broadcast(top)).select(
-        (F.col("top") + F.row_number().over(Window.orderBy("k"))).cast("long").alias("concept_id"), *[F.col(f"n_{f}").alias(f) for f in fields], F.lit(now).alias("created_at"), F.lit(now).alias("updated_at")
+    numbered_ = numbered(fresh, [F.col("k")], "__at").crossJoin(F.broadcast(top)).select(
+        (F.col("top") + F.col("__at") + 1).cast("long").alias("concept_id"), *[F.col(f"n_{f}").alias(f) for f in fields], F.lit(now).alias("created_at"), F.lit(now).alias("updated_at")
     )
-    return kept.unionByName(numbered)
+    return kept.unionByName(numbered_)
 
 
 def link_concepts(edges: DataFrame, links: DataFrame) -> DataFrame:

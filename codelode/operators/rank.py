@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -340,3 +341,18 @@ def knn_files(embeddings: DataFrame, query: Sequence[float], top_k: int = 10) ->
     scored = embeddings.filter(F.size("vector") == len(query)).select("file_id", "symbol_id", score.alias("score"))
     best = scored.groupBy("file_id").agg(F.max(F.struct("score", (-F.col("symbol_id")).alias("s"))).alias("b"))
     return best.select("file_id", F.col("b.score").alias("score"), (-F.col("b.s")).alias("best_symbol")).orderBy(F.desc("score"), "file_id").limit(top_k)
+
+
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, key: str = "symbol_id", text: str = "text") -> DataFrame:
+    """(key, model, dim, vector): each text's vector by ``embed``, a function of a list of texts that the workers can load; null and empty texts have none.
+
+    No model is part of this package: who has one gives its function here, and it is called once per Arrow batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            vectors = embed(b[text].tolist()) if len(b) else []
+            yield pd.DataFrame({key: b[key], "model": model, "dim": [len(v) for v in vectors], "vector": [list(v) for v in vectors]})
+
+    kind = dict(texts.dtypes)[key]
+    return texts.filter(F.length(text) > 0).select(key, text).mapInPandas(run, f"`{key}` {kind}, model string, dim int, vector array<float>")

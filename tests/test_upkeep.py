@@ -158,3 +158,9 @@ def test_budget_scales():
 
     scales, families = {"large": 0.5}, {("mid", "2"): 0.75}
     assert [scaled_budget(1000, m, scales, families) for m in (None, "", " LARGE ", "the-mid-2b", "mid-1")] == [1000, 1000, 500, 750, 1000]
+
+
+def test_embedding_hook(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, ""), (3, None), (4, "abc")], "symbol_id long, text string")
+    out = rank.embedded(df, lambda texts: [[float(len(t)), 1.0] for t in texts], "lengths")
+    assert rows(out, "symbol_id", "model", "dim", "vector") == [(1, "lengths", 2, [2.0, 1.0]), (4, "lengths", 2, [3.0, 1.0])]

@@ -146,11 +146,11 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> Da
     They are sorted by ranges and written with their place in the partition; the partitions' sizes, one row each, give the offsets.
     """
     within = F.monotonically_increasing_id()
-    placed = written(rows.orderBy(*order).select("*", F.shiftright(within, 33).cast("int").alias("__part"), within.bitwiseAND((1 << 33) - 1).alias("__at")))
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
-    offsets = sizes.select("__part", before.alias("__before"))  # a row a partition
-    return placed.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__at", "__before")
+    placed = written(rows.orderBy(*order).select("*", F.shiftright(within, 33).cast("int").alias("__range"), within.bitwiseAND((1 << 33) - 1).alias("__within")))
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
+    offsets = sizes.select("__range", before.alias("__before"))  # a row a partition
+    return placed.join(F.broadcast(offsets), "__range").withColumn(name, (F.col("__before") + F.col("__within")).cast("long")).drop("__range", "__within", "__before")
 
 
 #: Groups of tokens that a stored index is split into.

@@ -84,8 +84,8 @@ _PROBED = tokens_sql("concat_ws(chr(10), name, docstring, body_text)")
 ORACLES: dict[str, str] = {
     # The adjustment for the number of tests keeps the strongest term first, so the tail alone decides.
     "p3_found": f"""WITH r AS (SELECT DISTINCT symbol_id, name, docstring, body_text FROM symbols), t AS (SELECT symbol_id, unnest({_PROBED}) AS term FROM r), c AS (SELECT term, count(*) total FROM t GROUP BY term), m AS (SELECT count(*) m FROM t),
-      o AS (SELECT symbol_id, term, count(*) k, sum(count(*)) OVER (PARTITION BY symbol_id) n FROM t WHERE symbol_id IN (SELECT symbol_id FROM term_probes) GROUP BY symbol_id, term),
-      x AS (SELECT symbol_id, term, total, k, CAST(n AS BIGINT) n, m, list_transform(range(k, least(n, total) + 1), lambda i: lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + lgamma(m - total + 1) - lgamma(n - i + 1) - lgamma(m - total - n + i + 1)) l FROM o JOIN c USING (term), m),
+      o AS (SELECT symbol_id, term, count(*) k, CAST(sum(count(*)) OVER (PARTITION BY symbol_id) AS BIGINT) n FROM t WHERE symbol_id IN (SELECT symbol_id FROM term_probes) GROUP BY symbol_id, term),
+      x AS (SELECT symbol_id, term, total, k, n, m, list_transform(range(k, least(n, total) + 1), lambda i: lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + lgamma(m - total + 1) - lgamma(n - i + 1) - lgamma(m - total - n + i + 1)) l FROM o JOIN c USING (term), m),
       p AS (SELECT symbol_id, term, total, list_max(l) + ln(list_sum(list_transform(l, lambda v: exp(v - list_max(l))))) - (lgamma(m + 1) - lgamma(n + 1) - lgamma(m - n + 1)) lp FROM x)
       SELECT symbol_id, term FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY round(lp, 9), total, term) rn FROM p) WHERE rn = 1""",
 }

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .braces import C, Go, Java, Rust
 from .core import CONFLICT, Parser
-from .other import Kotlin, Php, Ruby, Solidity, Swift, Zig
+from .modern import Kotlin, Php, Solidity, Swift, Zig
+from .ruby import Ruby
 from .python import Python
 from .script import Script, TypeScript, TypeScriptJsx
 

@@ -9,13 +9,16 @@ remembered (if the rule ended there), and most statements cost one dictionary lo
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
 from functools import wraps
 
 #: Remembered stretches of one language; a full memory is emptied.
 MAX_MEMORY = 300_000
-#: Nested rules before a text counts as too deep.
-MAX_DEPTH = 180
+#: Frames that a text's rules may be nested; what is nested deeper is judged by its brackets alone.
+MAX_FRAMES = 20_000
+#: Tokens of a stretch that is remembered at most; longer ones, as of deep nests, hardly come again.
+MAX_STRETCH = 500
 
 CONFLICT = re.compile(r"(?m)^(?:<{7}(?: .*)?|>{7}(?: .*)?|\|{7}(?: .*)?|={7})\r?$")
 
@@ -65,6 +68,8 @@ def memo(rule):
         if marks[n] < i or (n and marks[n - 1] >= i):
             n = self.seek(i)
         j = marks[n]
+        if j - i > MAX_STRETCH:
+            return rule(self, *flags)
         key = tuple(self.k[i : j + 1])
         if flags or self.no_brace:
             key = (flags, self.no_brace, key)
@@ -218,22 +223,20 @@ class Parser:
 
     def enter(self) -> None:
         self.depth += 1
-        if self.depth > MAX_DEPTH:
-            raise Fault(self.i, "nested too deeply")
 
     def closing(self, i: int) -> int:
-        """The index after the bracket that closes the one at i."""
-        depth = 0
-        k = self.k
-        while k[i]:
-            if k[i] in "([{" and len(k[i]) == 1:
-                depth += 1
-            elif k[i] in ")]}" and len(k[i]) == 1:
-                depth -= 1
-                if not depth:
-                    return i + 1
-            i += 1
-        return i
+        """The index after the bracket that closes the one at i; the end if none does."""
+        if self.partners is None:
+            # All of them are found at once, so that a deep nest costs no more than a flat text.
+            self.partners, stack = {}, []
+            for at, x in enumerate(self.k):
+                if x in ("(", "[", "{"):
+                    stack.append(at)
+                elif x in (")", "]", "}") and stack:
+                    self.partners[stack.pop()] = at + 1
+        return self.partners.get(i, len(self.k) - 1)
+
+    partners: dict[int, int] | None = None
 
     # Statements ---------------------------------------------------------------------------------
 
@@ -290,6 +293,8 @@ class Parser:
 
     def parse(self) -> list[tuple[int, str]]:
         """All errors as (line, message), in the order of their place."""
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, MAX_FRAMES))
         try:
             self.unit()
             if not self.at(""):
@@ -297,7 +302,9 @@ class Parser:
         except Fault as fault:
             self.errors.append((fault.at, fault.message))
         except RecursionError:
-            self.errors.append((self.i, "nested too deeply"))
+            self.errors = self.unmatched()
+        finally:
+            sys.setrecursionlimit(limit)
         seen, out = set(), []
         for at, message in sorted(self.errors):
             if at not in seen:
@@ -305,6 +312,16 @@ class Parser:
                 out.append((at, message))
         return [(self.line_of(at), message) for at, message in out[:1]] + [(0, message) for _, message in out[1:]]
 
+    def unmatched(self) -> list[tuple[int, str]]:
+        """Brackets without their partners, found with a stack of its own, for texts that are nested deeper than rules can follow."""
+        pairs, stack = {")": "(", "]": "[", "}": "{"}, []
+        for i, x in enumerate(self.k):
+            if x in ("(", "[", "{"):
+                stack.append(i)
+            elif x in pairs and (not stack or self.k[stack.pop()] != pairs[x]):
+                return [(i, "a bracket doesn't match")]
+        return [(stack[-1], "a bracket is not closed")] if stack else []
+
     def many(self, rule, close: str, separator: str = ",") -> None:
         """Rules between separators, a last separator allowed, and the closing bracket."""
         while not self.at(close):

@@ -4,12 +4,17 @@ import itertools
 import math
 import os
 import random
+import sys
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, os.path.dirname(__file__))
+
+import samples  # noqa: E402
+
 from codelode.llm import credentials, distinctive, docpairs, handwritten, leakage, neighbours, parseability, stuffing, tokenization
 
 
@@ -162,8 +167,6 @@ VALID = {
     ".c": [
         "#include <x.h>\n#define M(a) \\\n  ((a) + 1)\ntypedef struct s { int a : 3; union { char *b; } u; } s_t;\nstatic const unsigned t[] = {1, [2] = 3, {.a = 1}};\nextern int (*fp)(int, char **);\nint f(const char *s, ...) { for (int i = 0; i < n; i++) if (a) b(); else { goto x; } x: return (int) *p + sizeof(int) + sizeof x; }\nvoid g(s_t *v) { s_t w = (s_t){1}; v->a = w.a ? 1 : 2; x >>= a<-1; do { switch (v->a) { case 1: break; default: ; } } while (0); }\n",
     ],
-    ".rb": ["class A\n  def f(x) = 1\nend\n".replace("(x) = 1", "(x)\n    return 1 if x\n    y.each do |z|\n      puts z\n    end\n  end")], ".php": ["<html><?php if ($a) { echo \"x\"; } ?></html>"], ".kt": ["fun f(x: Int?): Int = x ?: 0\n"], ".swift": ["func f(_ x: Int) -> Int { return x + 1 }\n"],
-    ".zig": ["pub fn f(x: u8) !void { return x; }\n"], ".sol": ["contract C { function f() public pure returns (uint) { return 1; } }\n"],
 }
 
 INVALID = {
@@ -174,10 +177,13 @@ INVALID = {
     ".java": ["class A { void m() { int x = ; } }", "class A { ", "public void f() {}x", "class A { int x }", "const x = 1;", "class A { void m( { } }", "class A { String s = \"abc; }"],
     ".rs": ["fn f( {}", "fn f() { let x = ; }", "let x = 1;", "struct P { a u8 }", "package a", "fn f() { 1 ", "fn f() { x = (1 }", "import a;"],
     ".c": ['char *s = "', "int f( { return 1; }", "int f() { return 1 }", "int x = ;", "int f() { if (x { } }", "package a\n", "int f() { x = (1; }", "}", "def f(x):\n    return 1\n"],
-    ".rb": ["class A\n  def f\n  end\n"], ".php": ["<?php function f( { }"], ".kt": ["fun f( { }"], ".swift": ["func f() { return (1 }"], ".zig": ["fn f() void { \"abc }"], ".sol": ["contract C { function f( }"],
 }
 
 
+VALID |= samples.VALID
+INVALID |= samples.INVALID
+
+
 @pytest.mark.parametrize(("extension", "i"), [(e, i) for e, texts in VALID.items() for i in range(len(texts))])
 def test_valid_sources(extension, i):
     from codelode.llm.syntax import errors_of
@@ -194,6 +200,19 @@ def test_invalid_sources(extension, i):
     assert errors and errors[0][0] >= 1
 
 
+NESTS = [(".js", "x = ", "[", "]", ";"), (".js", "", "{", "}", ""), (".java", "class A { int x = ", "(", ")", "; }"), (".c", "int x = ", "(", ")", ";"), (".rs", "fn f() { ", "{", "}", " }"), (".kt", "val x = ", "(", ")", ""), (".rb", "x = ", "[", "]", "\n"), (".sol", "contract C { uint x = ", "(", ")", "; }")]
+
+
+@pytest.mark.parametrize("depth", [185, 20_000])
+def test_depth_is_no_fault(depth):
+    from codelode.llm.syntax import errors_of
+
+    for extension, before, opened, closed, after in NESTS:
+        inside = "1" if opened == "(" else ""
+        assert errors_of(before + opened * depth + inside + closed * depth + after, extension) == [], extension
+        assert errors_of(before + opened * depth + inside + closed * (depth - 1) + after, extension), extension
+
+
 def test_python_agrees_with_the_compiler():
     """On this repository's own files, whole and broken at random places."""
     import ast

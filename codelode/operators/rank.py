@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.binding import let
 from ..session import cut_lineage, written
 
 K1, B = 1.5, 0.75
@@ -81,21 +81,61 @@ def bm25(postings: DataFrame, terms: Sequence[str], key: str = "file_id", top_k:
     return ranked(scored, key, top_k)
 
 
-def term_frequencies(rows: DataFrame, key: str, tokens: Column, terms: Sequence[str], weight: Column | None = None) -> DataFrame:
-    """(key, dl, tf): length and the terms' frequencies per document, from one or more rows of tokens each.
+#: Bytes of text that a stage handles at a time.
+SLICE = 8 << 20
+# Where identifiers are cut, for patterns without look-around: the character before and those after.
+_CUTS = (r"([a-z])([A-Z])", r"([A-Z])([A-Z][a-z])", r"([a-zA-Z])([0-9])", r"([0-9])([a-zA-Z])")
 
-    For a given query nothing is exploded: each row counts its terms in place, and one aggregate with
-    map-side combine adds up a few numbers per document.
-    """
-    weight = F.lit(1).cast("long") if weight is None else weight
 
-    def occurrences(t: Column, term: str) -> Column:
-        return F.size(F.filter(t, lambda x: x == term))
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(row, token) of each of ``functions.text.code_tokens``, for a batch of texts."""
+    t = pc.fill_null(pc.cast(texts, pa.string()), "")
+    for pattern in _CUTS:
+        t = pc.replace_substring_regex(t, pattern, r"\1_\2")
+    lists = pc.split_pattern_regex(t, r"[^\p{L}\p{N}_]+")
+    words, row = pc.list_flatten(lists), np.asarray(pc.list_parent_indices(lists))
+    keep = pc.greater(pc.utf8_length(words), 1)
+    words, row = words.filter(keep), row[np.asarray(keep)]
+    lists = pc.split_pattern_regex(words, "_+")
+    parts, row = pc.utf8_lower(pc.list_flatten(lists)), row[np.asarray(pc.list_parent_indices(lists))]
+    keep = pc.or_(pc.greater(pc.utf8_length(parts), 1), pc.match_substring_regex(parts, "^[0-9]$"))
+    return row[np.asarray(keep)], parts.filter(keep).dictionary_encode()
+
 
-    counted = let(tokens, lambda t: F.array(F.size(t), *[occurrences(t, w) for w in terms]))
-    each = rows.select(key, counted.alias("c"), weight.alias("w"))
-    sums = [F.sum(F.col("c")[i + 1] * F.col("w")).cast("long").alias(f"tf{i}") for i in range(len(terms))]
-    return each.groupBy(key).agg(F.sum(F.col("c")[0] * F.col("w")).cast("long").alias("dl"), *sums).filter("dl > 0")
+def _frequencies(key: str, terms: Sequence[str]):
+    """Arrow stage: (key, dl, tf0, ...) of rows (key, text, w, most): the first ``most`` tokens count, ``w`` times each."""
+    terms = list(terms)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0), dtype=np.int64)
+            part = np.cumsum(sizes) // SLICE
+            for lo in np.flatnonzero(np.diff(part, prepend=-1)).tolist():
+                s = b.slice(lo, int(np.searchsorted(part, part[lo], side="right")) - lo)
+                row, tokens = _tokens(s.column("text"))
+                number = np.asarray(tokens.indices)
+                most = np.asarray(pc.fill_null(s.column("most"), np.iinfo(np.int32).max))
+                inside = np.arange(len(row)) - np.searchsorted(row, row) < most[row]
+                row, number = row[inside], number[inside]
+                at = {v: i for i, v in enumerate(tokens.dictionary.to_pylist())}
+                weight = np.asarray(s.column("w"))
+                counts = [np.bincount(row, minlength=s.num_rows), *[np.bincount(row[number == at.get(t, -1)], minlength=s.num_rows) for t in terms]]
+                yield pa.RecordBatch.from_arrays([s.column(key), *[pa.array((c * weight).astype(np.int64)) for c in counts]], names=[key, "dl", *[f"tf{i}" for i in range(len(terms))]])
+
+    return stage
+
+
+def term_frequencies(rows: DataFrame, key: str, text: Column, terms: Sequence[str], weight: Column | None = None, most: Column | None = None) -> DataFrame:
+    """(key, dl, tf0, ...): length and the terms' frequencies per document, from one or more rows of text each.
+
+    For a given query no postings are made: each batch of texts is cut into tokens by Arrow's functions and counted in place,
+    and one aggregate with map-side combine adds up a few numbers per document. ``most``: so many first tokens of a row count.
+    """
+    terms = list(dict.fromkeys(terms))
+    each = rows.select(key, text.alias("text"), (F.lit(1) if weight is None else weight).cast("long").alias("w"), (F.lit(None) if most is None else most).cast("int").alias("most"))
+    kind, names = dict(rows.dtypes)[key], ["dl", *[f"tf{i}" for i in range(len(terms))]]
+    counted = each.mapInArrow(_frequencies(key, terms), f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
+    return counted.groupBy(key).agg(*[F.sum(n).cast("long").alias(n) for n in names]).filter("dl > 0")
 
 
 def file_frequencies(files: DataFrame, symbols: DataFrame, terms: Sequence[str], boosts: Mapping[str, int] = BOOSTS) -> DataFrame:
@@ -103,16 +143,18 @@ def file_frequencies(files: DataFrame, symbols: DataFrame, terms: Sequence[str],
     generated = is_generated(F.col("path"))
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
     half = F.when(F.col("generated"), 0.5).otherwise(1.0)
-    rows = files.select("file_id", T.code_tokens(stem).alias("tokens"), F.lit(2).cast("long").alias("w"))
+    rows = files.select("file_id", stem.alias("text"), F.lit(2).cast("long").alias("w"), F.lit(None).cast("int").alias("most"))
     of = symbols.join(files.select("file_id", generated.alias("generated")), "file_id")
-    fields = F.array(
-        F.struct(T.code_tokens(F.col("name")).alias("tokens"), F.greatest(F.lit(1), F.floor(boosts["name"] * half)).cast("long").alias("w")),
-        F.struct(T.code_tokens(F.concat_ws(" ", "qualified", "docstring")).alias("tokens"), F.lit(1).cast("long").alias("w")),
-        F.struct(T.code_tokens(F.col("signature")).alias("tokens"), F.greatest(F.lit(1), F.floor(boosts["signature"] * half)).cast("long").alias("w")),
-        F.struct(F.slice(T.code_tokens(F.col("body_text")), 1, BODY_TOKENS).alias("tokens"), F.lit(1).cast("long").alias("w")),
-    )
-    rows = rows.unionByName(of.select("file_id", F.explode(fields).alias("f")).select("file_id", "f.tokens", "f.w"))
-    return term_frequencies(rows, "file_id", F.col("tokens"), terms, F.col("w"))
+
+    def field(text: Column, boost: Column | int, most: int | None = None) -> Column:
+        return F.struct(text.alias("text"), (F.lit(boost) if isinstance(boost, int) else boost).cast("long").alias("w"), F.lit(most).cast("int").alias("most"))
+
+    def boosted(name: str) -> Column:
+        return F.greatest(F.lit(1), F.floor(boosts[name] * half))
+
+    fields = F.array(field(F.col("name"), boosted("name")), field(F.concat_ws(" ", "qualified", "docstring"), 1), field(F.col("signature"), boosted("signature")), field(F.col("body_text"), 1, BODY_TOKENS))
+    rows = rows.unionByName(of.select("file_id", F.explode(fields).alias("f")).select("file_id", "f.*"))
+    return term_frequencies(rows, "file_id", F.col("text"), terms, F.col("w"), F.col("most"))
 
 
 def bm25_query(frequencies: DataFrame, terms: Sequence[str], key: str = "file_id", top_k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
@@ -331,14 +373,32 @@ def confidence(fused: DataFrame) -> DataFrame:
     return top.select(F.when((relative > 0.5) & (gap > 0.003), "high").when(relative > 0.3, "medium").otherwise("low").alias("label"))
 
 
+def _similarities(query: Sequence[float]):
+    """Arrow stage: (file_id, symbol_id, score) of rows (file_id, symbol_id, vector), the cosine with ``query``."""
+    q = np.asarray(query, dtype=np.float64)
+    q = q / (np.sqrt(q @ q) + 1e-12)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b.column("vector").flatten(), dtype=np.float64).reshape(b.num_rows, len(q))
+            with np.errstate(all="ignore"):  # infinite and missing values are left out below
+                score = (x @ q) / (np.sqrt(np.einsum("ij,ij->i", x, x)) + 1e-12)
+            good = np.isfinite(score) & (x != 0).any(axis=1)
+            at = pa.array(np.flatnonzero(good))
+            yield pa.RecordBatch.from_arrays([b.column("file_id").take(at), b.column("symbol_id").take(at), pa.array(score[good])], names=["file_id", "symbol_id", "score"])
+
+    return stage
+
+
 def knn_files(embeddings: DataFrame, query: Sequence[float], top_k: int = 10) -> DataFrame:
     """(file_id, score, best_symbol): exact cosine search, the best symbol of each file; ties go to the smaller symbol.
 
-    ``embeddings`` has symbol_id, file_id and vector. The query is a parameter; the scan is one pass.
+    ``embeddings`` has symbol_id, file_id and vector. The query is a parameter; the scan is one pass, and only the files' best scores
+    are shuffled. Vectors of another size, with null or non-finite values, or all zero, don't count; repeated rows change nothing.
     """
-    q = F.array(*[F.lit(float(x)) for x in query])
-    score = F.round(T.dot(T.unit_vector(F.transform("vector", lambda x: x.cast("double"))), T.unit_vector(q)), 6)
-    scored = embeddings.filter(F.size("vector") == len(query)).select("file_id", "symbol_id", score.alias("score"))
+    usable = embeddings.filter((F.size("vector") == len(query)) & ~F.exists("vector", lambda x: x.isNull())).select("file_id", "symbol_id", "vector")
+    kinds = dict(usable.dtypes)
+    scored = usable.mapInArrow(_similarities(query), f"file_id {kinds['file_id']}, symbol_id {kinds['symbol_id']}, score double").withColumn("score", F.round("score", 6))
     best = scored.groupBy("file_id").agg(F.max(F.struct("score", (-F.col("symbol_id")).alias("s"))).alias("b"))
     return best.select("file_id", F.col("b.score").alias("score"), (-F.col("b.s")).alias("best_symbol")).orderBy(F.desc("score"), "file_id").limit(top_k)
 

@@ -146,7 +146,7 @@ def doc_length_stats(spark, d):
 @query(f"WITH {bm25_sql(DOC_POSTINGS, 'doc_id')} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM b ORDER BY score DESC, doc_id LIMIT 50")
 def bm25_topk(spark, d):
     """The 50 best documents for a query."""
-    return rank.bm25_query(rank.term_frequencies(documents(spark, d), "doc_id", T.code_tokens(F.col("text")), TERMS), TERMS, "doc_id", 50)
+    return rank.bm25_query(rank.term_frequencies(documents(spark, d), "doc_id", F.col("text"), TERMS), TERMS, "doc_id", 50)
 
 
 @query(f"WITH {bm25_sql(FILE_POSTINGS, 'file_id')} SELECT file_id, score, row_number() OVER (ORDER BY score DESC, file_id) - 1 AS rank FROM b ORDER BY score DESC, file_id LIMIT 50")
@@ -240,9 +240,7 @@ _V = "[" + ", ".join(repr(x) for x in VECTOR) + "]::DOUBLE[]"
 )
 def knn_files(spark, d):
     """The 20 files with the most similar symbol to a vector."""
-    v = F.col("vector")
-    good = (F.col("model") == "quill-mini") & (F.size(v) == 64) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rank.knn_files(table(spark, d, "symbol_embeddings").filter(good).select("symbol_id", "file_id", "vector").distinct(), VECTOR, 20)
+    return rank.knn_files(table(spark, d, "symbol_embeddings").filter("model = 'quill-mini'"), VECTOR, 20)
 
 
 # Graph ------------------------------------------------------------------------------------------

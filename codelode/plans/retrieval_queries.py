@@ -72,9 +72,7 @@ def fused(spark, d, files: DataFrame, symbols: DataFrame) -> DataFrame:
     per_file = pr.join(symbols.select(F.col("symbol_id").alias("id"), "file_id"), "id").groupBy("file_id").agg(F.round(F.sum("pr"), 9).alias("score"))
     used = actions(spark, d).filter("target IS NOT NULL")
     recent = rank.recent_files(used, files.select("file_id", F.col("file_id").alias("path")), used.agg(F.max("ts").alias("now")))
-    v = F.col("vector")
-    good = (F.col("dim") == 64) & (F.size(v) == 64) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    near = rank.knn_files(table(spark, d, "symbol_embeddings").filter(good & (F.col("model") == "quill-mini")).select("symbol_id", "file_id", "vector").distinct(), VECTOR, 20)
+    near = rank.knn_files(table(spark, d, "symbol_embeddings").filter("model = 'quill-mini' AND dim = 64"), VECTOR, 20)
     signals = {"bm25": by_terms, "pagerank": rank.ranked(per_file, "file_id"), "recency": recent, "embed": rank.ranked(near, "file_id", 20)}
     return rank.fuse(signals, "file_id", {"embed": 0.7}, 15)
 

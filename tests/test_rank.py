@@ -37,9 +37,9 @@ def test_bm25(spark):
 def test_bm25_without_postings(spark):
     docs = spark.createDataFrame(DOCS, "id long, text string")
     terms = ["graph", "ledger"]
-    freq = rank.term_frequencies(docs, "id", T.code_tokens(F.col("text")), terms)
+    freq = rank.term_frequencies(docs, "id", F.col("text"), terms)
     assert {r.id: r.score for r in rank.bm25_query(freq, terms, "id").collect()} == brute_bm25(DOCS, terms)
-    assert rank.bm25_query(rank.term_frequencies(docs.limit(0), "id", T.code_tokens(F.col("text")), terms), terms, "id").count() == 0
+    assert rank.bm25_query(rank.term_frequencies(docs.limit(0), "id", F.col("text"), terms), terms, "id").count() == 0
 
 
 def test_boosts_and_generated(spark):
@@ -103,3 +103,21 @@ def test_recency_and_knn(spark):
 def test_naive_grep(spark):
     docs = spark.createDataFrame(DOCS, "id long, text string")
     assert {r.id for r in rank.naive_grep(docs, ["budget", "other"], "id", "text").select(F.col("id")).collect()} == {2, 3}
+
+
+def test_tokens_in_place_are_code_tokens(spark):
+    texts = ["HTTPSConnection item2vec _private __x__ a b2 5 x1y2Z3 ABCd aBcD", "snake_case-kebab.dotted/pathÄöü naïveCase 12 a1", "", None, "x " * 5000, "_ __ 7 77", "ÉCOLE2go", "日本語 テキスト"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    terms = sorted({t for r in df.select(F.explode(T.code_tokens(F.col("text"))).alias("t")).collect() for t in [r.t]})
+    got = {r.id: [r.dl, *[r[f"tf{i}"] for i in range(len(terms))]] for r in rank.term_frequencies(df, "id", F.col("text"), terms).collect()}
+    want = {}
+    for r in df.select("id", T.code_tokens(F.col("text")).alias("t")).collect():
+        if r.t:
+            count = Counter(r.t)
+            want[r.id] = [len(r.t), *[count[t] for t in terms]]
+    assert got == want
+
+
+def test_vectors_that_do_not_count(spark):
+    e = spark.createDataFrame([(1, 10, [1.0, 0.0]), (2, 11, [0.0, 0.0]), (3, 12, [float("nan"), 1.0]), (4, 13, [1.0]), (5, 14, None), (6, 15, [None, 1.0]), (7, 16, [float("inf"), 1.0]), (1, 10, [1.0, 0.0])], "symbol_id long, file_id long, vector array<float>")
+    assert [r.file_id for r in rank.knn_files(e, [1.0, 0.0]).collect()] == [10] and rank.knn_files(e.limit(0), [1.0]).count() == 0

@@ -57,7 +57,7 @@ def debounced(events: DataFrame, seconds: float = 5.0, late: str = "1 hour") ->
     """(user_id, event_id, ts): events at least ``seconds`` after the user's last kept one.
 
     State is one time per user. It is forgotten once the watermark has passed the time until which it could hold an event back, so it
-    is bounded by the users of ``late`` and ``seconds``, not by all users ever seen.
+    is bounded by the users of ``late`` and ``seconds``, not by all users ever seen. Events that come later than ``late`` are left out.
     """
 
     def keep(key: tuple, batches, state):
